@@ -55,6 +55,11 @@ class Slice(NamedTuple):
     start: np.ndarray  # of each word, in data
     end: np.ndarray
     hash: np.ndarray
+    total: np.ndarray  # running sums of the weighted bytes
+
+    def hash_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the byte ranges from ``start`` to ``end``."""
+        return _hash(self.total, start, end)
 
 
 def slices(column: pa.Array, lower: bool = False, size: int = SLICE) -> Iterator[Slice]:
@@ -73,11 +78,16 @@ def slices(column: pa.Array, lower: bool = False, size: int = SLICE) -> Iterator
         i = j
 
 
+def _hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    _, inv = _powers(len(total))
+    return mix(((total[end] - total[start]) * inv[start]) ^ ((end - start).astype(_U) * _U(0xD6E8FEB86659FD93)))
+
+
 def _cut(at: int, data: np.ndarray, text: np.ndarray) -> Slice:
     n = len(data)
     if not n:
         e = np.zeros(0, np.int64)
-        return Slice(at, data, text, np.zeros(len(text), np.int64), e, e, np.zeros(0, _U))
+        return Slice(at, data, text, np.zeros(len(text), np.int64), e, e, np.zeros(0, _U), np.zeros(1, _U))
     word = ~_SPACE[data]
     edge = np.zeros(n + 1, bool)  # a text starts here
     edge[text] = True
@@ -86,11 +96,10 @@ def _cut(at: int, data: np.ndarray, text: np.ndarray) -> Slice:
     closes = word.copy()
     closes[:-1] &= ~word[1:] | edge[1:n]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    p, inv = _powers(n + 1)
+    p, _ = _powers(n + 1)
     total = np.zeros(n + 1, _U)
     np.cumsum(_TABLE[data] * p[:n], out=total[1:])
-    h = (total[end] - total[start]) * inv[start]
-    return Slice(at, data, text, np.searchsorted(start, text), start, end, mix(h ^ ((end - start).astype(_U) * _U(0xD6E8FEB86659FD93))))
+    return Slice(at, data, text, np.searchsorted(start, text), start, end, _hash(total, start, end), total)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
