@@ -260,3 +260,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, miss
     some = some.select("doc_id", "n_shingles", "fp1", "fp2").join(of_set, ["fp1", "fp2"]).select("doc_id", "n_shingles", "component_id")
     none = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return some.union(none).withColumn("kept", F.expr("doc_id <=> component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFrame:
+    """``docs`` with one document of each group: that of the smallest doc_id. Rows without doc_id stay.
+
+    Rows that repeat a doc_id are one document; one of them stays."""
+    found = durable(near_duplicates(docs, percent, words).select("doc_id", "kept"), "found")
+    gone = durable(found.where("not kept").select("doc_id").distinct(), "gone")
+    left = docs.join(checked_broadcast(gone), "doc_id", "left_anti").select(docs.columns)
+    repeated = durable(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return left
+    once = left.join(checked_broadcast(repeated), "doc_id", "left_anti").select(docs.columns)
+    return once.union(left.join(checked_broadcast(repeated), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))

@@ -124,11 +124,11 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) with the columns base and found: spans (start, kind, end) in code points.
 
     ``found`` has the base spans and those that the bootstrap adds beside them. Null and empty texts have none; equal
-    texts have equal spans; an empty table gives no rows. A column of the input called base or found gives way."""
+    texts have equal spans; an empty table gives no rows. Columns of the input called base, found or extra give way."""
     key = F.md5(F.coalesce("text", F.lit("")))
     texts = docs.where("text is not null").select(key.alias("key"), "text")
     extra = bootstrap(texts)
-    rows = docs.drop("base", "found").withColumn("_pii_key", key).join(checked_broadcast(extra.withColumnRenamed("key", "_pii_key")), "_pii_key", "left").drop("_pii_key")
+    rows = docs.drop("base", "found", "extra").withColumn("_pii_key", key).join(checked_broadcast(extra.withColumnRenamed("key", "_pii_key")), "_pii_key", "left").drop("_pii_key")
     rows = rows.withColumn("base", base_spans(F.coalesce("text", F.lit(""))))
     free = F.filter(F.coalesce("extra", F.array().cast(SPAN)), lambda x: ~F.exists("base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
     return rows.withColumn("found", F.array_sort(F.concat("base", free))).drop("extra")
@@ -145,7 +145,9 @@ def count_kind(spans: Column, kind: str) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with each found span of the text replaced by its kind in brackets; overlapping spans become one."""
+    """``docs`` with each found span of the text replaced by its kind in brackets; overlapping spans become one.
+
+    A column n_chars follows. Columns called base, found or extra must not be in ``docs``."""
     columns = docs.columns
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -156,4 +158,7 @@ def redact(docs: DataFrame) -> DataFrame:
     end = lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text")))
     marked = find_personal_data(docs)
     text = F.when(F.size("found") > 0, F.aggregate("found", start, step, end)).otherwise(F.col("text"))
-    return marked.withColumn("text", text).select(columns)
+    marked = marked.withColumn("text", text)
+    if "n_chars" in columns:
+        marked = marked.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return marked.select(columns)

@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from quillgraph.llm import bpe_replay, media, token_store
 from quillgraph.llm.minhash_dedup import near_duplicates
 from quillgraph.llm.packing import pack_documents
+from quillgraph.llm.pii import KINDS, as_text, count_kind, find_personal_data
+from quillgraph.llm.substring_dedup import repeated_passages
+from quillgraph.llm.toxicity import toxic_documents
 from quillgraph.llm.url_filter import filter_urls
+from quillgraph.llm.vector_join import near_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,16 +47,38 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.fingerprints(media.store_media(_table(spark, sf_dir, "documents"))))
 
 
+def op9_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_table(spark, sf_dir, "documents"))
+    counts = [count_kind(F.col("base"), k).alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("found")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_bpe_replay": op3_bpe_replay,
     "op4_token_store": op4_token_store,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_media_columns": op8_media_columns,
+    "op9_vector_join": op9_vector_join,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.words import _powers, grams, mix, slices
-from quillgraph.plans.durable import checked_broadcast, discard, durable
+from quillgraph.plans.durable import BROADCAST_ROWS, checked_broadcast, discard, durable
 
 WINDOW, ANCHOR = 35, 12
 _U = np.uint64
@@ -140,7 +140,16 @@ def _run_pass(window: int, anchor: int):
     return run
 
 
-def _drop_pass(window: int, whole_text: bool):
+def _kept_words(text: str, begin: np.ndarray, end: np.ndarray, window: int) -> tuple[list[bytes], np.ndarray]:
+    """The words of ``text`` and whether each stays, if windows start from each begin up to before its end."""
+    words = text.encode().split()
+    edge = np.zeros(len(words) + 1, np.int64)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, end + (window - 1), -1)
+    return words, np.cumsum(edge[:-1]) == 0
+
+
+def _drop_pass(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = batch.column(2)
@@ -148,15 +157,10 @@ def _drop_pass(window: int, whole_text: bool):
             offs = runs.offsets.to_numpy()
             removed, kept = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                words = text.encode().split()
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, begin[offs[i] : offs[i + 1]], 1)
-                np.add.at(edge, end[offs[i] : offs[i + 1]] + (window - 1), -1)
-                keep = np.cumsum(edge[:-1]) == 0
-                out = b" ".join([words[k] for k in np.flatnonzero(keep)])
+                words, keep = _kept_words(text, begin[offs[i] : offs[i + 1]], end[offs[i] : offs[i + 1]], window)
                 removed.append(len(words) - int(keep.sum()))
-                kept.append(out.decode() if whole_text else hashlib.sha256(out).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["rid", "n_removed", "kept"])
+                kept.append(hashlib.sha256(b" ".join([words[k] for k in np.flatnonzero(keep)])).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["rid", "removed", "kept"])
 
     return run
 
@@ -195,24 +199,52 @@ def _recurring(docs: DataFrame, window: int, anchor: int) -> tuple[DataFrame, Da
     return first.drop("anchors").join(copies, "key"), spans, keyed
 
 
-def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, texts: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) for each row of ``docs`` (doc_id, text, ...).
+def _gone(window: int):
+    return F.expr(f"copies > 1 and n_words >= {window}")
+
 
-    A word goes if a window that covers it also starts anywhere else; windows are judged on the input. ``kept`` is the
-    SHA-256 of the kept words, joined by one space, or these themselves if ``texts``. Null texts have no words. Equal
-    texts of a window or more vanish in all their copies, the first included; shorter texts stay."""
+def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) for each row of ``docs`` (doc_id, text, ...).
+
+    A word goes if a window that covers it also starts anywhere else; windows are judged on the input. The SHA-256 is
+    of the kept words, joined by one space. Null texts have no words. Equal texts of a window or more vanish in all
+    their copies, the first included; shorter texts stay. An empty table gives no rows."""
     rows, spans, keyed = _recurring(docs, window, anchor)
-    cut = rows.where("copies = 1").select("rid", "key", "doc_id").join(spans, "rid")
-    cut = durable(_texts_of(keyed, durable(cut, "cut")).select("rid", "text", "spans").mapInArrow(_drop_pass(window, texts), "rid long, n_removed long, kept string"), "kept")
-    gone = F.expr(f"copies > 1 and n_words >= {window}")
-    nothing = "" if texts else _EMPTY
-    out = rows.join(cut, "rid", "left")
-    if texts:
-        # Untouched texts are normalised like the others: words joined by one space.
-        own = keyed.select("key", "text").dropDuplicates(["key"])
-        out = out.join(own, "key").withColumn("sha", F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))
-    return out.select(
+    cut = durable(rows.where("copies = 1").select("rid", "key", "doc_id").join(spans, "rid"), "cut")
+    cut = durable(_texts_of(keyed, cut).select("rid", "text", "spans").mapInArrow(_drop_pass(window), "rid long, removed long, kept string"), "kept")
+    return rows.join(cut, "rid", "left").select(
         "doc_id", "n_words",
-        F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(gone, nothing).otherwise(F.coalesce("kept", "sha")).alias("kept"),
+        F.when(_gone(window), F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
+        F.when(_gone(window), _EMPTY).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
     )
+
+
+def strip_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """``docs`` with the words of recurring passages taken out of the column text.
+
+    Texts without such passages stay as they are; of the others the kept words are joined by one space, and n_chars,
+    if there is such a column, follows. No row is dropped: a text of recurring passages only becomes empty."""
+    rows, spans, _ = _recurring(docs, window, anchor)
+    whole = rows.where(_gone(window)).select("key", F.array(F.struct(F.lit(0).alias("b"), (F.col("n_words") - (window - 1)).cast("int").alias("e"))).alias("spans")).dropDuplicates(["key"])
+    marks = durable(rows.where("copies = 1").join(spans, "rid").select("key", "spans").union(whole).withColumnsRenamed({"key": "_qg_key", "spans": "_qg_spans"}), "marks")
+    small = marks.agg(F.sum(F.size("_qg_spans"))).first()[0] or 0
+    marked = docs.withColumn("_qg_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    marked = marked.join(F.broadcast(marks) if small <= BROADCAST_ROWS else marks, "_qg_key", "left").drop("_qg_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            at, spans = names.index("text"), batch.column(names.index("_qg_spans"))
+            text = batch.column(at).to_pylist()
+            for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)):
+                part = spans[int(i)].values
+                words, keep = _kept_words(text[i], part.field(0).to_numpy(), part.field(1).to_numpy(), window)
+                text[i] = b" ".join([words[k] for k in np.flatnonzero(keep)]).decode()
+            columns = [pa.array(text, batch.schema.field(at).type) if n == "text" else batch.column(k) for k, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    out = marked.mapInArrow(run, marked.schema)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("_qg_spans").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)

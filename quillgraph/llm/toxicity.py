@@ -205,3 +205,12 @@ def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels.where(~held_out(F.col("doc_id"))))
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= CUT).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` whose texts score below ``cut``, with all their columns; learns as above."""
+    model = fit(docs, labels.where(~held_out(F.col("doc_id"))))
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, model, name).where(F.col(name) < cut).drop(name)
