@@ -1 +1 @@
-
+"""Scalar text functions as column expressions."""

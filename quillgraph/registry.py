@@ -5,6 +5,356 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillgraph.functions.text import STOP_WORDS, SUMMARY_STOP_WORDS, bag, clean_words, text_similarity, with_summary
+from quillgraph.operators import changes, chat, fulltext, graph, lifecycle, linking, search, summary
+from quillgraph.operators.search import SearchFilter
+from quillgraph.schema import EPOCH, TYPES, fixture_nodes, millis, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _words(names: list[str]) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
+# Shared parts of the twins.
+_NODES = f"""nodes AS (SELECT d.doc_id AS seq, d.text AS content, d.lang, d.source, ([{_words(TYPES)}])[CAST(d.doc_id % 6 AS INT) + 1] AS type,
+  CASE WHEN l.quality IS NULL THEN 0.5 WHEN l.toxic = 1 THEN 0.1 WHEN l.quality = 1 THEN 0.9 ELSE 0.3 END::DOUBLE AS importance,
+  {EPOCH} + d.doc_id * 1000 AS created_at, greatest({EPOCH} + d.doc_id * 1000, coalesce(v.seen, 0)) AS last_accessed, coalesce(v.n, 0)::BIGINT AS access_count
+  FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN (SELECT user_id, count(*) AS n, max(epoch_us(ts) // 1000) AS seen FROM events WHERE event_type = 'view' GROUP BY 1) v ON v.user_id = d.doc_id)"""
+_CLEAN = r"string_split_regex(regexp_replace(lower({}), '[^a-z0-9\s]', '', 'g'), '\s+')"
+_BAG = f"bags AS (SELECT doc_id AS seq, list_distinct(list_filter({_CLEAN.format('text')}, lambda w: length(w) > 1 AND NOT list_contains([{_words(STOP_WORDS)}], w))) AS bag FROM documents)"
+_LINKS = f"""{_BAG}, tok AS (SELECT seq, len(bag) AS n, unnest(bag) AS w FROM bags),
+links AS (SELECT a.seq AS source_seq, b.seq AS target_seq, count(*) / sqrt(a.n::BIGINT * b.n) AS weight FROM tok a JOIN tok b ON a.w = b.w AND a.seq > b.seq GROUP BY a.seq, b.seq, a.n, b.n HAVING count(*) / sqrt(a.n::BIGINT * b.n) >= 0.3)"""
+_SUMMARY = rf"""sent AS (SELECT doc_id AS seq, text, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\n+', ' ', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) > 10) AS s FROM documents),
+each AS (SELECT seq, i, s[i] AS x FROM (SELECT seq, s, unnest(range(1, len(s) + 1)) AS i FROM sent WHERE len(s) > 1)),
+word AS (SELECT seq, i, unnest({_CLEAN.format("x")}) AS w FROM each),
+freq AS (SELECT seq, w, count(*) AS f FROM word WHERE length(w) > 1 AND w NOT IN ({_words(SUMMARY_STOP_WORDS)}) GROUP BY seq, w),
+score AS (SELECT word.seq, i, sum(coalesce(f, 0)) / count(*) AS p FROM word LEFT JOIN freq USING (seq, w) GROUP BY word.seq, i),
+best AS (SELECT seq, i FROM score QUALIFY row_number() OVER (PARTITION BY seq ORDER BY p DESC, i) = 1),
+summaries AS (SELECT sent.seq, text AS content, CASE WHEN len(s) = 0 THEN substr(text, 1, 120) WHEN len(s) = 1 THEN s[1] ELSE s[best.i] END AS summary FROM sent LEFT JOIN best USING (seq))"""
+_INDEX = rf"""{_SUMMARY}, idx AS (SELECT seq, regexp_extract_all(strip_accents(lower(content)), '[\p{{L}}\p{{N}}]+') AS c, regexp_extract_all(strip_accents(lower(summary)), '[\p{{L}}\p{{N}}]+') AS s FROM summaries),
+stat AS (SELECT count(*) AS n, sum(len(c) + len(s)) / count(*) AS mean FROM idx)"""
+
+
+def _ranked(leaves: list[str], match: str, more: str = "") -> str:
+    """The twin of a ranked search. leaves: counts of each phrase in a row; match: a condition on t0, t1, ..."""
+    counts = ", ".join(f"{x} AS t{i}" for i, x in enumerate(leaves))
+    score = " + ".join(f"(CASE WHEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - d{i} + 0.5) / (d{i} + 0.5)) END) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * size / mean))" for i in range(len(leaves)))
+    dfs = ", ".join(f"count(*) FILTER (t{i} > 0) AS d{i}" for i in range(len(leaves)))
+    return f"WITH {_INDEX}, cnt AS (SELECT seq, len(c) + len(s) AS size, {counts} FROM idx), df AS (SELECT {dfs} FROM cnt) SELECT seq, round(-({score}), 6) AS score FROM cnt, df, stat WHERE {match} {more}"
+
+
+def _term(w: str, columns: str = "cs") -> str:
+    return " + ".join(f"len(list_filter({c}, lambda x: x = '{w}'))" for c in columns)
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture_nodes(spark, sf_dir)
+
+
+def _indexed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_summary(_nodes(spark, sf_dir), "seq")
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.auto_link(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("content")))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links(spark, sf_dir).select(F.col("source_seq").alias("source_id"), F.col("target_seq").alias("target_id"), F.lit("relates_to").alias("relation"), "weight")
+
+
+def _plain_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+
+
+# Scans, filters, pages.
+
+
+@_query(f"WITH {_NODES} SELECT seq, type, importance, created_at, last_accessed, access_count, length(content) AS chars FROM nodes")
+def node_scan(spark, sf_dir):
+    return _nodes(spark, sf_dir).select("seq", "type", "importance", "created_at", "last_accessed", "access_count", F.length("content").cast("long").alias("chars"))
+
+
+@_query("SELECT count(*) AS nodes FROM documents")
+def node_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("nodes"))
+
+
+@_query(f"WITH {_NODES} SELECT seq, type, importance, 1.0::DOUBLE AS score FROM nodes WHERE type = 'preference' AND importance >= 0.3 AND importance <= 0.9 ORDER BY importance DESC, seq LIMIT 20")
+def search_structured(spark, sf_dir):
+    f = SearchFilter(type="preference", min_importance=0.3, max_importance=0.9, sort_by="importance")
+    return search.structured(_nodes(spark, sf_dir), f).select("seq", "type", "importance", "score")
+
+
+@_query(f"WITH {_NODES} SELECT seq, access_count FROM nodes ORDER BY access_count ASC, seq LIMIT 50 OFFSET 100")
+def search_page(spark, sf_dir):
+    return search.structured(_nodes(spark, sf_dir), SearchFilter(sort_by="accessCount", sort_order="asc", limit=50, offset=100)).select("seq", "access_count")
+
+
+@_query(f"WITH {_NODES} SELECT seq FROM nodes WHERE lang = 'de' AND source = 'src3'")
+def search_metadata(spark, sf_dir):
+    return search.structured(_nodes(spark, sf_dir), SearchFilter(metadata={"lang": "de", "source": "src3"}, limit=-1)).select("seq")
+
+
+@_query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50")
+def json_decode(spark, sf_dir):
+    k = F.try_variant_get(F.try_parse_json(F.coalesce(F.nullif("props", F.lit("")), F.lit("{}"))), "$.k", "long")
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k")).where("k >= 50")
+
+
+@_query(f"WITH {_LINKS} SELECT source_seq, target_seq, weight FROM links WHERE source_seq = (SELECT max(source_seq) FROM links)")
+def edge_filter(spark, sf_dir):
+    edges = linking.durable(_edges(spark, sf_dir), "edges")
+    top = edges.agg(F.max("source_id")).first()[0]
+    return search.edges(edges, source=top).select(F.col("source_id").alias("source_seq"), F.col("target_id").alias("target_seq"), "weight")
+
+
+# Text functions.
+
+
+@_query(f"WITH {_BAG} SELECT seq, len(bag)::BIGINT AS n_words, array_to_string(list_sort(bag), ' ') AS words FROM bags")
+def tokens_bag(spark, sf_dir):
+    b = bag(F.col("text"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.size(b).cast("long").alias("n_words"), F.array_join(F.array_sort(b), " ").alias("words"))
+
+
+@_query(f"WITH {_BAG} SELECT a.seq AS a, b.seq AS b, CASE WHEN len(a.bag) = 0 OR len(b.bag) = 0 THEN 0.0 ELSE len(list_intersect(a.bag, b.bag)) / sqrt(len(a.bag)::BIGINT * len(b.bag)) END::DOUBLE AS similarity FROM bags a JOIN bags b ON b.seq = a.seq + 1")
+def similarity(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pairs = d.alias("x").join(d.alias("y"), F.expr("y.doc_id = x.doc_id + 1"))
+    return pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), text_similarity(F.col("x.text"), F.col("y.text")).alias("similarity"))
+
+
+@_query(f"WITH {_SUMMARY} SELECT seq, summary FROM summaries")
+def extractive_summary(spark, sf_dir):
+    return with_summary(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("content")), "seq").select("seq", "summary")
+
+
+@_query(rf"""WITH {_SUMMARY}, alltext AS (SELECT string_agg(summary, '. ' ORDER BY seq) AS t FROM summaries),
+s2 AS (SELECT list_filter(list_transform(string_split(regexp_replace(regexp_replace(t, '\n+', ' ', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) > 10) AS s FROM alltext),
+e2 AS (SELECT i, s[i] AS x FROM (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM s2)), w2 AS (SELECT i, unnest({_CLEAN.format("x")}) AS w FROM e2),
+f2 AS (SELECT w, count(*) AS f FROM w2 WHERE length(w) > 1 AND w NOT IN ({_words(SUMMARY_STOP_WORDS)}) GROUP BY w),
+p2 AS (SELECT i, sum(coalesce(f, 0)) / count(*) AS p FROM w2 LEFT JOIN f2 USING (w) GROUP BY i)
+SELECT x AS summary FROM e2 WHERE i = (SELECT i FROM p2 ORDER BY p DESC, i LIMIT 1)""")
+def corpus_summary(spark, sf_dir):
+    return summary.corpus_summary(extractive_summary(spark, sf_dir))
+
+
+@_query(rf"WITH w AS (SELECT doc_id AS seq, unnest({_CLEAN.format('text')}) AS w FROM documents) SELECT w AS word, count(*) AS n, count(DISTINCT seq) AS docs FROM w WHERE length(w) > 1 AND w NOT IN ({_words(SUMMARY_STOP_WORDS)}) GROUP BY w")
+def word_frequency(spark, sf_dir):
+    per = table(spark, sf_dir, "documents").select("doc_id", F.explode(clean_words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    return per.where((F.length("word") > 1) & ~F.col("word").isin(SUMMARY_STOP_WORDS)).groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+
+
+# Links and the graph.
+
+
+@_query(f"WITH {_LINKS} SELECT source_seq, target_seq, weight FROM links")
+def auto_link(spark, sf_dir):
+    return _links(spark, sf_dir)
+
+
+@_query(f"WITH {_LINKS} SELECT source_seq, target_seq, weight FROM links WHERE weight >= 0.7")
+def auto_link_strict(spark, sf_dir):
+    return linking.auto_link(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("content")), 0.7)
+
+
+@_query(f"WITH {_LINKS}, two AS (SELECT source_seq AS id, target_seq AS other FROM links UNION SELECT target_seq, source_seq FROM links) SELECT id, other AS neighbour_id FROM two")
+def neighbours(spark, sf_dir):
+    return graph.neighbours(_plain_nodes(spark, sf_dir), _edges(spark, sf_dir))
+
+
+@_query(f"WITH {_LINKS}, two AS (SELECT source_seq AS id, weight FROM links UNION ALL SELECT target_seq, weight FROM links) SELECT id, count(*) AS edges FROM two GROUP BY id")
+def incident_edges(spark, sf_dir):
+    return graph.both_ways(_edges(spark, sf_dir)).groupBy("id").agg(F.count("*").alias("edges"))
+
+
+@_query(f"WITH {_LINKS} SELECT source_seq AS source_id, target_seq AS target_id, substr(a.text, 1, 30) AS source_label, substr(b.text, 1, 30) AS target_label FROM links LEFT JOIN documents a ON a.doc_id = source_seq LEFT JOIN documents b ON b.doc_id = target_seq")
+def edge_labels(spark, sf_dir):
+    return graph.edge_labels(_plain_nodes(spark, sf_dir), _edges(spark, sf_dir)).select("source_id", "target_id", "source_label", "target_label")
+
+
+_CLUSTERS = f"""WITH RECURSIVE {_LINKS}, two AS (SELECT source_seq AS a, target_seq AS b FROM links UNION SELECT target_seq, source_seq FROM links),
+reach AS (SELECT a, b FROM two UNION SELECT r.a, t.b FROM reach r JOIN two t ON t.a = r.b),
+comp AS (SELECT doc_id AS id, least(doc_id, coalesce(min(b), doc_id)) AS cluster_id FROM documents LEFT JOIN reach ON a = doc_id GROUP BY doc_id),
+size AS (SELECT cluster_id, count(*) AS size FROM comp GROUP BY 1 HAVING count(*) >= 2)"""
+
+
+@_query(f"{_CLUSTERS} SELECT id, cluster_id, size FROM comp JOIN size USING (cluster_id)")
+def clusters(spark, sf_dir):
+    return graph.clusters(_plain_nodes(spark, sf_dir), _edges(spark, sf_dir))
+
+
+@_query(f"{_CLUSTERS} SELECT cluster_id, size FROM size")
+def cluster_sizes(spark, sf_dir):
+    return clusters(spark, sf_dir).select("cluster_id", "size").distinct()
+
+
+@_query(f"WITH {_LINKS}, {_NODES} SELECT 'node' AS kind, '[' || type || '] ' || substr(CAST(seq AS VARCHAR), 1, 8) || ' — ' || substr(content, 1, 60) AS line FROM nodes UNION ALL SELECT 'edge', substr(CAST(source_seq AS VARCHAR), 1, 8) || ' --[relates_to]--> ' || substr(CAST(target_seq AS VARCHAR), 1, 8) FROM links")
+def graph_report(spark, sf_dir):
+    return graph.report(_nodes(spark, sf_dir), _edges(spark, sf_dir))
+
+
+@_query(f"WITH {_LINKS} SELECT (SELECT count(*) FROM documents) AS nodes, (SELECT count(*) FROM links) AS edges")
+def graph_totals(spark, sf_dir):
+    return graph.totals(_plain_nodes(spark, sf_dir), _edges(spark, sf_dir))
+
+
+# Full-text search.
+
+
+def _found(spark, sf_dir, query: str, **more) -> DataFrame:
+    f = SearchFilter(query=query, **{"limit": -1} | more)
+    return fulltext.search(_indexed_nodes(spark, sf_dir), f).select("seq", F.round("score", 6).alias("score"))
+
+
+@_query(_ranked([_term("the"), _term("ouon")], "t0 > 0 AND t1 > 0"))
+def fts_and(spark, sf_dir):
+    return _found(spark, sf_dir, "the ouon")
+
+
+@_query(_ranked([_term("pour"), _term("license")], "t0 > 0 OR t1 > 0"))
+def fts_or(spark, sf_dir):
+    return _found(spark, sf_dir, "pour OR license")
+
+
+@_query(_ranked([_term("de"), _term("der")], "t0 > 0 AND NOT t1 > 0"))
+def fts_not(spark, sf_dir):
+    return _found(spark, sf_dir, "de NOT der")
+
+
+@_query(_ranked([" + ".join(f"len(list_filter({c}, lambda x: starts_with(x, 'licen')))" for c in "cs")], "t0 > 0"))
+def fts_prefix(spark, sf_dir):
+    return _found(spark, sf_dir, "licen*")
+
+
+_PHRASE = " + ".join(f"len(list_filter(range(1, len({c}) + 1), lambda i: {c}[i] = 'ele' AND {c}[i + 1] = 'la'))" for c in "cs")
+
+
+@_query(_ranked([_PHRASE.replace("ele", "of").replace("'la'", "'the'")], "t0 > 0"))
+def fts_phrase(spark, sf_dir):
+    return _found(spark, sf_dir, '"of the"')
+
+
+@_query(_ranked([_term("pour", "s")], "t0 > 0"))
+def fts_column(spark, sf_dir):
+    return _found(spark, sf_dir, "summary : pour")
+
+
+@_query(_ranked([" + ".join(f"(CASE WHEN {c}[1] = 'the' THEN 1 ELSE 0 END)" for c in "cs")], "t0 > 0"))
+def fts_first(spark, sf_dir):
+    return _found(spark, sf_dir, "^the")
+
+
+_NEAR = [" + ".join(f"len(list_filter(range(1, len({c}) + 1), lambda i: {c}[i] = '{a}' AND len(list_filter({c}[greatest(1, i - 4):i + 4], lambda x: x = '{b}')) > 0))" for c in "cs") for a, b in (("pour", "avec"), ("avec", "pour"))]
+_NEAR_SQL = _ranked([*_NEAR, _term("pour"), _term("avec")], "t0 > 0 AND t1 > 0")
+for _i in (0, 1):  # ranks count the near ones, rows with the phrase count wherever it stands
+    _NEAR_SQL = _NEAR_SQL.replace(f"count(*) FILTER (t{_i} > 0) AS d{_i}", f"count(*) FILTER (t{_i + 2} > 0) AS d{_i}")
+_NEAR_SQL = _NEAR_SQL.replace(" * t2 * 2.2", " * 0 * 2.2").replace(" * t3 * 2.2", " * 0 * 2.2")
+
+
+@_query(_NEAR_SQL)
+def fts_near(spark, sf_dir):
+    return _found(spark, sf_dir, "NEAR(pour avec, 3)")
+
+
+@_query(_ranked([_term("license")], "t0 > 0", "ORDER BY score, seq LIMIT 10"))
+def fts_topk(spark, sf_dir):
+    return _found(spark, sf_dir, "license", limit=10)
+
+
+@_query(_ranked([_term("the")], "t0 > 0 AND seq % 6 = 1"))
+def fts_filtered(spark, sf_dir):
+    return _found(spark, sf_dir, "the", type="preference")
+
+
+# Lifecycle. Ids to forget, updates and new links come from the fixtures themselves.
+
+
+@_query(f"WITH {_LINKS} SELECT source_seq AS source_id, target_seq AS target_id FROM links WHERE source_seq % 7 <> 0 AND target_seq % 7 <> 0")
+def forget_cascade(spark, sf_dir):
+    nodes, edges = _plain_nodes(spark, sf_dir), _edges(spark, sf_dir)
+    return lifecycle.forget(nodes, edges, nodes.where("id % 7 = 0").select("id"))[1].select("source_id", "target_id")
+
+
+@_query("SELECT DISTINCT e.user_id AS source_id, CAST(e.event_id AS BIGINT) AS target_id, e.event_type AS relation FROM events e WHERE e.user_id IN (SELECT doc_id FROM documents) AND e.event_id IN (SELECT doc_id FROM documents)")
+def link_validate(spark, sf_dir):
+    new = table(spark, sf_dir, "events").select(F.col("user_id").alias("source_id"), F.col("event_id").alias("target_id"), F.col("event_type").alias("relation"))
+    none = spark.createDataFrame([], new.schema)
+    return lifecycle.valid_links(_plain_nodes(spark, sf_dir), none, new, strict=False)
+
+
+@_query(f"WITH {_NODES} SELECT seq, CASE WHEN l.doc_id IS NULL THEN n.importance ELSE l.quality::DOUBLE END AS importance, access_count + (l.doc_id IS NOT NULL)::BIGINT AS access_count, CASE WHEN l.doc_id IS NULL THEN created_at ELSE 1800000000000 END AS updated_at FROM nodes n LEFT JOIN labels l ON l.doc_id = n.seq")
+def update_merge(spark, sf_dir):
+    updates = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), F.col("quality").cast("double").alias("importance"))
+    return lifecycle.merge_updates(_nodes(spark, sf_dir), updates, 1800000000000).select("seq", "importance", "access_count", "updated_at")
+
+
+@_query("SELECT user_id AS id, count(*) AS accesses, max(epoch_us(ts) // 1000) AS last_access FROM events GROUP BY user_id")
+def access_stats(spark, sf_dir):
+    return lifecycle.access_stats(table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), millis("ts").alias("ts")))
+
+
+@_query(f"WITH {_NODES} SELECT seq, importance, last_accessed FROM nodes ORDER BY importance DESC, last_accessed DESC, seq DESC LIMIT 100")
+def evict_topm(spark, sf_dir):
+    return lifecycle.evict(_nodes(spark, sf_dir), 100).select("seq", "importance", "last_accessed")
+
+
+@_query("SELECT user_id AS id, event_id AS seq, event_type AS op FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def ops_log_latest(spark, sf_dir):
+    return lifecycle.latest(table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("op")))
+
+
+@_query(f"WITH {_LINKS} SELECT DISTINCT source_seq AS seq, 0 AS sub_seq, 'link:auto' AS event, source_seq AS id FROM links UNION ALL SELECT doc_id, 1, 'node:created', doc_id FROM documents")
+def change_log(spark, sf_dir):
+    return changes.of_stores(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq")), _links(spark, sf_dir))
+
+
+# Chat.
+
+
+@_query("SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND length(text) >= 20")
+def chat_autostore(spark, sf_dir):
+    return chat.to_store(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "text")
+
+
+_TRANSCRIPTS = "SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'Human' WHEN 'assistant' THEN 'AI' ELSE role END || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id"
+
+
+@_query(_TRANSCRIPTS)
+def chat_transcript(spark, sf_dir):
+    return chat.transcript(table(spark, sf_dir, "conversations"))
+
+
+def _recalled(spark, sf_dir) -> DataFrame:
+    nodes = _indexed_nodes(spark, sf_dir)
+    found = fulltext.search(nodes, SearchFilter(query=fulltext.plain("License?"), limit=chat.RECALL))
+    return found.select(F.struct(F.round("score", 6).alias("s"), "seq").alias("rank"), "type", "content")
+
+
+_RECALLED = _ranked([_term("license")], "t0 > 0", "ORDER BY score, seq LIMIT 5").replace("WITH ", f"WITH {_NODES}, hits AS (WITH ", 1) + "), mem AS (SELECT row_number() OVER (ORDER BY score, seq) AS i, type, content FROM hits JOIN nodes USING (seq))"
+
+
+@_query(_RECALLED + " SELECT replace('" + chat.PROMPT.replace("'", "''") + "', '%s', string_agg('  ' || i || '. [' || type || '] ' || content, chr(10) ORDER BY i)) AS prompt FROM mem")
+def chat_context(spark, sf_dir):
+    return chat.system_prompt(_recalled(spark, sf_dir))
+
+
+@_query(_RECALLED + f", lines AS (SELECT 'Relevant memories:' || chr(10) || string_agg('[' || type || '] ' || content, chr(10) ORDER BY i) || chr(10) || chr(10) AS l FROM mem), t AS ({_TRANSCRIPTS}) SELECT conv_id, l || transcript AS history FROM t, lines")
+def chat_history(spark, sf_dir):
+    return chat.chain_context(_recalled(spark, sf_dir), chat_transcript(spark, sf_dir))

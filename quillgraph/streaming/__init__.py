@@ -1 +1 @@
-
+"""Streams of texts and accesses into the graph."""
