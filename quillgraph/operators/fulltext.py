@@ -7,6 +7,7 @@ computed row by row. Nothing is shuffled but that one row, and only matches reac
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -40,7 +41,7 @@ class Phrase:
     first: bool = False
     columns: tuple[str, ...] = ("content", "summary")
 
-    def _starts(self, name: str) -> Column:
+    def starts(self, name: str) -> Column:
         """Positions, from 0, where the phrase starts in a column."""
         t = F.col(f"_{name}")
         k = len(self.words)
@@ -55,40 +56,13 @@ class Phrase:
         last = F.lit(0) if self.first else F.size(t) - k
         places = F.when(F.size(t) >= k, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
         # The cheap test first: rows without the first word do no work by position.
-        return F.filter(places, here) if self.prefix and k == 1 else F.when(F.array_contains(t, self.words[0]), F.filter(places, here)).otherwise(F.array().cast("array<int>"))
+        if self.prefix and k == 1:
+            return F.filter(places, here)
+        return F.when(F.array_contains(t, self.words[0]), F.filter(places, here)).otherwise(F.array().cast("array<int>"))
 
-    def count(self) -> Column:
-        if len(self.words) == 1 and not self.first:
-            w = self.words[0]
-            each = [F.size(F.filter(f"_{c}", lambda x: x.startswith(w) if self.prefix else x == w)) for c in self.columns]
-        else:
-            each = [F.size(self._starts(c)) for c in self.columns]
-        return sum(each[1:], each[0])
 
-
-@dataclass(frozen=True)
-class Near:
-    """Phrases that stand, in one column, with at most ``gap`` tokens between the first and the last of them."""
-
-    phrases: tuple[Phrase, ...]
-    gap: int = NEAR
-
-    def _kept(self, k: int, name: str) -> Column:
-        """Starts of phrase k that take part in a cluster of all phrases."""
-        p = self.phrases[k]
-
-        def near(i: Column) -> Column:
-            out = F.lit(True)
-            for j, q in enumerate(self.phrases):
-                if j != k:
-                    out &= F.exists(q._starts(name), lambda x: (x - i - len(p.words) <= self.gap) & (i - x - len(q.words) <= self.gap))
-            return out
-
-        return F.filter(p._starts(name), near)
-
-    def count(self, k: int) -> Column:
-        each = [F.size(self._kept(k, c)) for c in self.phrases[k].columns]
-        return sum(each[1:], each[0])
+def _total(columns: list[Column]) -> Column:
+    return sum(columns[1:], columns[0])
 
 
 def _lex(query: str) -> list[tuple[str, str]]:
@@ -113,6 +87,7 @@ class Parsed:
 
     def __init__(self, query: str):
         self.items, self.at, self.leaves = _lex(query), 0, []
+        self.starts: dict[str, Column] = {}  # columns that a row needs: where each phrase starts
         if not self.items:
             raise QueryError("empty query")
         self.match = self._or()
@@ -176,17 +151,38 @@ class Parsed:
                 self.at += 1
                 gap = int(self._take("word"))
             self._take(")")
-            near = Near(tuple(phrases), gap)
-            if len(phrases) == 1:
-                return self._leaf(phrases[0])
-            counts = [near.count(k) for k in range(len(phrases))]
-            self.leaves += [(c, p.count()) for c, p in zip(counts, phrases)]
-            return F.lit(True) if not counts else sum((c > 0).cast("int") for c in counts[1:]) + (counts[0] > 0).cast("int") == len(counts)
+            return self._leaf(phrases[0]) if len(phrases) == 1 else self._near(phrases, gap)
         return self._leaf(self._phrase(columns))
 
+    def _places(self, p: Phrase) -> dict[str, Column]:
+        """The columns with the phrase's starts, by indexed column."""
+        out = {}
+        for c in p.columns:
+            name = f"_p{len(self.starts)}"
+            self.starts[name] = p.starts(c)
+            out[c] = F.col(name)
+        return out
+
     def _leaf(self, p: Phrase) -> Column:
-        self.leaves.append((p.count(), p.count()))
-        return p.count() > 0
+        n = _total([F.size(x) for x in self._places(p).values()])
+        self.leaves.append((n, n))
+        return n > 0
+
+    def _near(self, phrases: list[Phrase], gap: int) -> Column:
+        """Phrases that stand, in one column, with at most ``gap`` tokens between each two of them."""
+        places = [self._places(p) for p in phrases]
+
+        def within(i: Column, k: int, j: int, c: str) -> Column:
+            a, b = len(phrases[k].words), len(phrases[j].words)
+            return F.exists(places[j][c], lambda x: (x - i - a <= gap) & (i - x - b <= gap))
+
+        def kept(k: int, c: str) -> Column:
+            others = [j for j in range(len(phrases)) if j != k]
+            return F.filter(places[k][c], lambda i: functools.reduce(lambda u, v: u & v, [within(i, k, j, c) for j in others]))
+
+        counts = [_total([F.size(kept(k, c)) for c in p.columns]) for k, p in enumerate(phrases)]
+        self.leaves += [(n, _total([F.size(x) for x in place.values()])) for n, place in zip(counts, places)]
+        return functools.reduce(lambda a, b: a & b, [n > 0 for n in counts])
 
     def _phrase(self, columns: tuple[str, ...]) -> Phrase:
         first = self._peek() == "^"
@@ -216,7 +212,7 @@ def plain(text: str) -> str:
 def ranked(nodes: DataFrame, query: str) -> DataFrame:
     """Matching rows of ``nodes`` (content, summary, ...) with their score: BM25 negated, so the best is the least."""
     q = Parsed(query)
-    rows = indexed(nodes)
+    rows = indexed(nodes).withColumns(q.starts)
     total = rows.agg(
         F.count("*").alias("n"), F.sum(F.size("_content") + F.size("_summary")).alias("len"),
         *(F.sum((alone > 0).cast("long")).alias(f"df{i}") for i, (_, alone) in enumerate(q.leaves)),
@@ -230,7 +226,7 @@ def ranked(nodes: DataFrame, query: str) -> DataFrame:
         idf = F.log((F.lit(float(n)) - df + 0.5) / (df + 0.5))
         tf = F.col(f"_tf{i}")
         score = score + F.when(idf <= 0, LEAST_IDF).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / F.lit(mean or 1.0)))
-    return rows.withColumn("score", -score).drop("_content", "_summary", *(f"_tf{i}" for i in range(len(q.leaves))))
+    return rows.withColumn("score", -score).drop("_content", "_summary", *q.starts, *(f"_tf{i}" for i in range(len(q.leaves))))
 
 
 def search(nodes: DataFrame, f: SearchFilter, observed: bool = False) -> DataFrame:
