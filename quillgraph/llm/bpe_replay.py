@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quillgraph.llm.segments import Recent, SegmentEncoder
+from quillgraph.llm.segments import SegmentEncoder
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -115,19 +115,20 @@ class MergeReplay:
         return out
 
 
-class _Segments:
-    """Ids of segments; words are remembered too, as several segments share them."""
+class _Pieces:
+    """Ids of distinct pieces of text, by one replay over their distinct words."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.replay, self.find, self.known = MergeReplay(ranks), regex.compile(pattern).findall, Recent(400_000)
+        self.replay, self.find = MergeReplay(ranks), regex.compile(pattern).findall
 
-    def __call__(self, segments: list[str]) -> list[bytes]:
-        rows = [self.find(s) for s in segments]
-        new = self.known.missing(set().union(*rows))
-        for i in range(0, len(new), 50_000):
-            some = new[i : i + 50_000]
-            self.known.update((w, np.array(ids, "<i4").tobytes()) for w, ids in zip(some, self.replay.words([w.encode() for w in some])))
-        return [b"".join([self.known[w] for w in r]) for r in rows]
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        rows = [self.find(s) for s in pieces]
+        words = list(set().union(*rows))
+        ids: dict[str, bytes] = {}
+        for i in range(0, len(words), 50_000):
+            some = words[i : i + 50_000]
+            ids.update((w, np.array(x, "<i4").tobytes()) for w, x in zip(some, self.replay.words([w.encode() for w in some])))
+        return [ids[r[0]] if len(r) == 1 else b"".join([ids[w] for w in r]) for r in rows]
 
 
 _ENCODERS: dict[tuple[str, str], SegmentEncoder] = {}
@@ -141,7 +142,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (path, pattern) not in _ENCODERS:
-            _ENCODERS[path, pattern] = SegmentEncoder(_Segments(load_ranks(path), pattern))
+            _ENCODERS[path, pattern] = SegmentEncoder(_Pieces(load_ranks(path), pattern))
         encoder = _ENCODERS[path, pattern]
         for batch in batches:
             for at, ids in encoder.column(batch.column(1)):

@@ -1,8 +1,10 @@
 """Texts cut where every tokenizer used here cuts too, so that each distinct piece is encoded once and looked up after.
 
-A segment begins at each space that a non-space follows. Words end before white space in all the patterns in use, and
-a run of white space gives its last space to the word behind it; so encoding segment by segment equals encoding the
-text. Texts in which a space is followed by white space or by the end are one segment.
+All patterns in use end a token before white space and between Latin letters and ASCII marks (but the apostrophe of
+contractions), and join one space to what follows. So these are cut off: words of Latin letters and runs of ASCII
+marks, each with a space before it, if what follows lets no token go on; else whole stretches up to white space, with
+the white space before them. Encoding piece by piece then equals encoding the text. Texts with white space beyond ASCII
+are one piece.
 """
 
 from __future__ import annotations
@@ -14,17 +16,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are worked on at once, and segments that a worker remembers in each of two generations.
-SLICE, REMEMBERED = 4 << 20, 250_000
-_ODD = re.compile(r" (?:\s|$)")
+#: Bytes of text that are worked on at once, and pieces that a worker remembers in each of two generations.
+SLICE, REMEMBERED = 2 << 20, 400_000
+_ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_PIECE = re.compile(
+    r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\t-\r !-&(-/:-@[-`{-~]|\Z)"
+    r"| ?[!-&(-/:-@[-`{-~]+(?=[\t-\r A-Za-zÀ-ÖØ-öø-ÿ]|\Z)"
+    r"| ?[^\t-\r ]+|[\t-\r ]+[^\t-\r ]*"
+)
 
 
 def cut(text: str) -> list[str]:
-    """Segments of ``text``; joined they are the text."""
-    if _ODD.search(text):
-        return [text]
-    parts = text.split(" ")
-    return parts[:1] + [" " + p for p in parts[1:]]
+    """Pieces of ``text``; joined they are the text."""
+    return [text] if _ODD.search(text) else _PIECE.findall(text)
 
 
 class Recent(dict):
@@ -47,7 +51,7 @@ class Recent(dict):
 
 
 class SegmentEncoder:
-    """Little-endian 32-bit ids of texts. ``encode`` gets distinct unseen segments and gives their ids as bytes."""
+    """Little-endian 32-bit ids of texts. ``encode`` gets distinct unseen pieces and gives their ids as bytes."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]]):
         self.encode, self.known = encode, Recent(REMEMBERED)

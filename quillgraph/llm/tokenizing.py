@@ -5,15 +5,13 @@ from __future__ import annotations
 import json
 import os
 import re
-import string
 import unicodedata
+from array import array
 
 import numpy as np
 
-from quillgraph.llm.segments import Recent, SegmentEncoder
+from quillgraph.llm.segments import SegmentEncoder
 
-#: A word of letters and ASCII marks behind it: both are encoded alone, as all patterns in use split there.
-_TAIL = re.compile(rf"^( ?[^\W\d_]+)([{re.escape(string.punctuation)}]+)\Z")
 #: Words of which normalising and splitting leave one piece: Latin letters, behind at most one space.
 _PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 _ENCODERS: dict[str, SegmentEncoder] = {}
@@ -38,31 +36,21 @@ def encoder(path: str) -> SegmentEncoder:
     with open(path, encoding="utf-8") as f:
         lower = '"Lowercase"' in json.dumps(json.load(f)["normalizer"])
     model, letters = tokenizer.model, _byte_letters()
-    known = Recent(REMEMBERED_WORDS)
-
     def plain(word: str) -> bytes:
         """What encoding ``word`` gives, by the library's model alone."""
         if lower:
             word = word.strip(" ").lower()
-        return np.array([t.id for t in model.tokenize("".join([letters[b] for b in word.encode()]))], "<i4").tobytes()
+        if not word.isascii() or word[:1] == " ":
+            word = "".join([letters[b] for b in word.encode()])
+        return array("i", [t.id for t in model.tokenize(word)]).tobytes()
 
-    def encode(segments: list[str]) -> list[bytes]:
-        rows = [m.groups() if (m := _TAIL.match(s)) else (s,) for s in segments]
-        new = known.missing(set().union(*rows))
-        other = []
-        for s in new:
-            if _PLAIN.match(s) and unicodedata.is_normalized("NFC", s):
-                known[s] = plain(s)
-            else:
-                other.append(s)
+    def encode(pieces: list[str]) -> list[bytes]:
+        known = {s: plain(s) for s in pieces if _PLAIN.match(s) and (s.isascii() or unicodedata.is_normalized("NFC", s))}
+        other = [s for s in pieces if s not in known]
         for i in range(0, len(other), 10_000):
             some = other[i : i + 10_000]
             known.update((s, np.array(e.ids, "<i4").tobytes()) for s, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)))
-        return [known[r[0]] + known[r[1]] if len(r) > 1 else known[r[0]] for r in rows]
+        return [known[s] for s in pieces]
 
     _ENCODERS[path] = SegmentEncoder(encode)
     return _ENCODERS[path]
-
-
-#: Words that a worker remembers in each of two generations.
-REMEMBERED_WORDS = 400_000
