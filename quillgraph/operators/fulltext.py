@@ -43,22 +43,23 @@ class Phrase:
 
     def starts(self, name: str) -> Column:
         """Positions, from 0, where the phrase starts in a column."""
-        t = F.col(f"_{name}")
         k = len(self.words)
-
-        def here(i: Column) -> Column:
-            out = F.lit(True)
-            for j, w in enumerate(self.words):
-                x = F.get(t, i + j)
-                out &= x.startswith(w) if self.prefix and j == k - 1 else x == w
-            return out
-
-        last = F.lit(0) if self.first else F.size(t) - k
-        places = F.when(F.size(t) >= k, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        # The cheap test first: rows without the first word do no work by position.
-        if self.prefix and k == 1:
-            return F.filter(places, here)
-        return F.when(F.array_contains(t, self.words[0]), F.filter(places, here)).otherwise(F.array().cast("array<int>"))
+        none = F.array().cast("array<int>")
+
+        def found(t: Column) -> Column:
+            def here(i: Column) -> Column:
+                out = F.lit(True)
+                for j, w in enumerate(self.words):
+                    x = F.get(t, i + j)
+                    out &= x.startswith(w) if self.prefix and j == k - 1 else x == w
+                return out
+
+            places = F.filter(F.sequence(F.lit(0), F.lit(0) if self.first else F.size(t) - k), here)
+            able = F.size(t) >= k
+            return F.when(able if self.prefix and k == 1 else able & F.array_contains(t, self.words[0]), places).otherwise(none)
+
+        # The tokens are bound to a lambda's variable, or the optimizer would put their making into the inner loop.
+        return F.get(F.transform(F.array(f"_{name}"), found), 0)
 
 
 def _total(columns: list[Column]) -> Column:
