@@ -15,13 +15,16 @@ from quillgraph.llm.substring_dedup import strip_passages
 from quillgraph.llm.toxicity import drop_toxic
 from quillgraph.plans.durable import durable
 
+#: Percent of common shingles from which the stage takes texts as near copies; op2_minhash_dedup has its own.
+NEAR = 80
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, percent=NEAR)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

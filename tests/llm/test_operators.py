@@ -245,3 +245,14 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} == {i for i in range(15) if i not in (4, 7, 8)}
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_near_dedup_stage_drops_a_copy_of_similarity_080(spark, tmp_path):
+    base = words(200, 30, 10**6)
+    near = base[:50] + ["c1"] + base[51:100] + ["c2"] + base[101:150] + ["c3"] + base[151:190] + ["c4"] + base[191:]
+    far = [w if i % 30 else "c" for i, w in enumerate(base)]
+    texts = [" ".join(w) for w in (base, near, far)]
+    a, b, c = ({tuple(t.split()[k : k + 5]) for k in range(196)} for t in texts)
+    assert 0.80 <= len(a & b) / len(a | b) < 0.85 and len(a & c) / len(a | c) < 0.80
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()} == {0, 2}
