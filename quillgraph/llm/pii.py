@@ -26,8 +26,8 @@ _IP = r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _CARD = r"(?<![0-9\x01])[0-9][0-9\x01]{13,}"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A word with a digit, and the one or two words that end a text.
-_TOKEN = r"(?<!\S)[^\s0-9]*[0-9]\S*"
+#: A word with the blanks behind it, and the one or two words that end a text.
+_WORD, _BLANKS = r"\S+\s*", " \t\n\x0b\f\r"
 _BEFORE = r"(\S+\s+\S+|\S+)\s*$"
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -82,24 +82,36 @@ def _context(before: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(F.regexp_extract(F.right(before, F.lit(120)), _BEFORE, 1), r"\s+", " ")), "[0-9]+", "0")
 
 
-def _observed(texts: DataFrame) -> DataFrame:
-    """(key, seeds, gaps, tokens) of the texts with digits or base entities: what the bootstrap reads."""
+def _seeds(texts: DataFrame) -> DataFrame:
+    """(context, value, kind), distinct: the base entities of the texts behind their patterns."""
     t = F.col("text")
-    some = texts.where(t.rlike("[0-9]") | t.contains("@")).select("key", "text", base_spans(t).alias("base"), F.regexp_extract_all(t, F.lit(_TOKEN), 0).alias("tokens"))
+    some = texts.where(t.rlike("[0-9]") | t.contains("@")).select("text", base_spans(t).alias("base"))
     seeds = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), F.substr(t, s["start"] + 1, s["end"] - s["start"]).alias("value"), _context(F.substr(t, F.greatest(F.lit(1), s["start"] - 119), F.least(F.lit(120), s["start"]))).alias("context")))
-    gaps = F.transform(F.split(t, _TOKEN, -1), lambda g: F.struct(F.length(g).alias("n"), _context(g).alias("context")))
-    return some.select("key", seeds.alias("seeds"), gaps.alias("gaps"), "tokens")
+    return some.select(F.inline(seeds)).where("context <> ''").select("context", "value", "kind").distinct()
+
+
+def _words(texts: DataFrame) -> DataFrame:
+    """(key, i, context, value): each word behind another, with the context that a seed in its place would have."""
+    t = F.col("text")
+    plain = F.regexp_replace(F.lower(t), "[0-9]+", "0")
+    cut = texts.select("key", F.regexp_extract_all(t, F.lit(_WORD), 0).alias("words"), F.regexp_extract_all(plain, F.lit(r"\S+"), 0).alias("plain"))
+
+    def word(x, i):
+        far, near = F.coalesce(F.get("words", i - 2), F.lit("")), F.get("words", i - 1)
+        short = F.length(far) + F.length(near) <= 120  # else the context is cut as a seed's is
+        context = F.when(i == 0, "").when(short, F.concat_ws(" ", F.get("plain", i - 2), F.get("plain", i - 1))).otherwise(_context(F.concat(far, near)))
+        return F.struct(context.alias("context"), F.rtrim(x, F.lit(_BLANKS)).alias("value"))
+
+    return cut.select("key", F.posexplode(F.transform("words", word)).alias("i", "x")).select("key", "i", "x.context", "x.value").where("context <> ''")
 
 
 def bootstrap(texts: DataFrame, support: int = SUPPORT, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
     """(key, extra): spans that trusted patterns mark in the texts (key, text), base entities not yet taken off."""
-    seen = durable(_observed(texts.dropDuplicates(["key"])), "observed")
-    seeds = seen.select(F.inline("seeds")).where("context <> ''").select("context", "value", "kind").distinct()
-    seeds = durable(seeds, "seeds")
+    seeds = durable(_seeds(texts), "seeds")
     # A pattern needs enough distinct seeds; only its occurrences matter from here on.
     patterns = durable(seeds.groupBy("context").agg(F.count("*").alias("n"), F.mode("kind").alias("kind")).where(F.col("n") >= support).select("context", "kind"), "patterns")
-    words = seen.select("key", F.posexplode(F.arrays_zip(F.slice("gaps", 1, F.size("tokens")).alias("gap"), F.col("tokens").alias("token"))).alias("i", "x")).select("key", "i", F.col("x.gap.context").alias("context"), F.col("x.token").alias("value"))
-    hits = durable(words.where("context <> ''").join(checked_broadcast(patterns), "context"), "hits")
+    words = _words(texts).where(F.col("value").rlike("[0-9]"))
+    hits = durable(words.join(checked_broadcast(patterns), "context").dropDuplicates(["key", "i"]), "hits")
     links = durable(hits.select("context", "value").union(seeds.join(checked_broadcast(patterns.select("context")), "context", "left_semi").select("context", "value")).distinct(), "links")
     sure = seeds.select("value").distinct().withColumn("score", F.lit(1.0))
     instances = links.select("value").distinct().join(sure, "value", "left").select("value", F.coalesce("score", F.lit(0.0)).alias("score"))
@@ -109,13 +121,15 @@ def bootstrap(texts: DataFrame, support: int = SUPPORT, trust: float = TRUST, ro
         best = links.join(scored, "context").groupBy("value").agg(F.max("trust").alias("trust"))
         instances = durable(best.join(sure, "value", "left").select("value", F.coalesce("score", "trust").alias("score")), "instances")
     good = durable(hits.join(scored.where(F.col("trust") >= trust).select("context"), "context", "left_semi").select("key", "i", "kind"), "good")
-    # Places: running lengths of gaps and words, only in texts that a trusted pattern marks.
-    sizes = seen.join(checked_broadcast(good.select("key").distinct()), "key", "left_semi").select("key", F.posexplode(F.arrays_zip(F.slice("gaps", 1, F.size("tokens")).alias("gap"), F.col("tokens").alias("token"))).alias("i", "x"))
+    # Places: running lengths of the words and blanks, only in texts that a trusted pattern marks.
+    marked = texts.join(checked_broadcast(good.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
+    sizes = marked.select("key", F.length(F.regexp_extract("text", r"^\s*", 0)).alias("lead"), F.posexplode(F.regexp_extract_all("text", F.lit(_WORD), 0)).alias("i", "x"))
+    sizes = sizes.select("key", "i", "lead", F.length("x").alias("all"), F.length(F.rtrim("x", F.lit(_BLANKS))).alias("n"))
     before = Window.partitionBy("key").orderBy("i")
-    placed = sizes.select("key", "i", (F.sum(F.col("x.gap.n") + F.length("x.token")).over(before)).cast("int").alias("end"), F.length("x.token").alias("n"))
+    placed = sizes.select("key", "i", (F.col("lead") + F.sum("all").over(before) - F.col("all") + F.col("n")).cast("int").alias("end"), "n")
     extra = placed.join(good, ["key", "i"]).groupBy("key").agg(F.collect_list(F.struct((F.col("end") - F.col("n")).alias("start"), "kind", "end")).cast(SPAN).alias("extra"))
     extra = durable(extra, "extra")
-    for t in (seen, seeds, hits, links, good):
+    for t in (seeds, hits, links, good):
         discard(t)
     return extra
 

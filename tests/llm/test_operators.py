@@ -256,3 +256,21 @@ def test_near_dedup_stage_drops_a_copy_of_similarity_080(spark, tmp_path):
     assert 0.80 <= len(a & b) / len(a | b) < 0.85 and len(a & c) / len(a | c) < 0.80
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()} == {0, 2}
+
+
+def pii_found(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [x["f"] for x in pii.find_personal_data(rows).select("doc_id", pii.as_text(F.col("found")).alias("f")).orderBy("doc_id").collect()]
+
+
+def test_personal_data_behind_a_number(spark):
+    # The pattern is '0 id:', so the word before the candidate's own pattern has a digit.
+    found = pii_found(spark, [f"ticket {30 + i} id: {i}.1.2.{i}" for i in range(1, 6)] + ["  ticket 77\n id:  AB-7788 then", "ticket 78 id: 9.1.2.9 id: CD-7799"])
+    assert found[5] == "ip:18:25" and found[6] == "ip:14:21"
+    # Behind another identifier, where one word is between them or none.
+    found = pii_found(spark, [f"from 10.0.0.{i} to 10.0.1.{i} 10.0.2.{i}" for i in range(1, 6)] + ["from 10.0.0.9 to X-1 10.0.2.9", "from 10.0.0.8 to 10.0.1.8 Y-2"])
+    assert "ip:17:20" in found[5].split(",") and found[6] == "ip:5:13,ip:17:25,ip:26:29"
+    found = pii_found(spark, [f"at {i}.1.2.3 {i}.1.2.4" for i in range(1, 6)] + ["at 7.1.2.3 Z-9", "at 8.1.2.3 8.1.2.4"])
+    assert found[5] == "ip:3:10,ip:11:14"
+    long = "y" * 130
+    assert pii_found(spark, [f"{long} no {i}.1.2.3" for i in range(1, 6)] + [f"{long} no Z-9"])[5] == "ip:134:137"
