@@ -3,7 +3,8 @@
 Base entities are found by fixed patterns. They seed the bootstrap: the words before an entity are a lexical pattern,
 and patterns and instances form a bipartite graph. In each round a pattern scores the mean score of its instances,
 seeds having 1, and an instance the best score of its patterns. Patterns with enough distinct seeds and a high score
-then mark the unseen identifiers that stand behind the same words.
+then mark the unseen identifiers that stand behind the same words. Every word behind a pattern is an instance, with
+digits or without; ordinary words behind it lower its score.
 
 The regular expressions begin only at the start of a run and repeat single characters, not groups, so they take time
 in proportion to the text and no stack. Where a group repeats in the definition, its separators are first replaced by
@@ -110,10 +111,11 @@ def bootstrap(texts: DataFrame, support: int = SUPPORT, trust: float = TRUST, ro
     seeds = durable(_seeds(texts), "seeds")
     # A pattern needs enough distinct seeds; only its occurrences matter from here on.
     patterns = durable(seeds.groupBy("context").agg(F.count("*").alias("n"), F.mode("kind").alias("kind")).where(F.col("n") >= support).select("context", "kind"), "patterns")
-    words = _words(texts).where(F.col("value").rlike("[0-9]"))
-    hits = durable(words.join(checked_broadcast(patterns), "context").dropDuplicates(["key", "i"]), "hits")
+    hits = durable(_words(texts).join(checked_broadcast(patterns), "context").dropDuplicates(["key", "i"]), "hits")
     links = durable(hits.select("context", "value").union(seeds.join(checked_broadcast(patterns.select("context")), "context", "left_semi").select("context", "value")).distinct(), "links")
-    sure = seeds.select("value").distinct().withColumn("score", F.lit(1.0))
+    # A word around a base entity, as with a mark behind it, is as sure as the entity.
+    around = links.select("value").distinct().where(F.col("value").rlike("[0-9]") | F.col("value").contains("@")).where(F.size(base_spans(F.col("value"))) > 0)
+    sure = durable(seeds.select("value").union(around).distinct().withColumn("score", F.lit(1.0)), "sure")
     instances = links.select("value").distinct().join(sure, "value", "left").select("value", F.coalesce("score", F.lit(0.0)).alias("score"))
     scored = None
     for _ in range(rounds):
@@ -129,7 +131,7 @@ def bootstrap(texts: DataFrame, support: int = SUPPORT, trust: float = TRUST, ro
     placed = sizes.select("key", "i", (F.col("lead") + F.sum("all").over(before) - F.col("all") + F.col("n")).cast("int").alias("end"), "n")
     extra = placed.join(good, ["key", "i"]).groupBy("key").agg(F.collect_list(F.struct((F.col("end") - F.col("n")).alias("start"), "kind", "end")).cast(SPAN).alias("extra"))
     extra = durable(extra, "extra")
-    for t in (seeds, hits, links, good):
+    for t in (seeds, hits, links, sure, good):
         discard(t)
     return extra
 

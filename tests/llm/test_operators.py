@@ -274,3 +274,12 @@ def test_personal_data_behind_a_number(spark):
     assert found[5] == "ip:3:10,ip:11:14"
     long = "y" * 130
     assert pii_found(spark, [f"{long} no {i}.1.2.3" for i in range(1, 6)] + [f"{long} no Z-9"])[5] == "ip:134:137"
+
+
+def test_personal_data_without_digits(spark):
+    seeds = [f"please mail to {c}{c}@host.org, thanks" for c in "abcdef"]
+    found = pii_found(spark, [*seeds, "please mail to john(at)mail now", "mail to jdoe", "to jdoe"])
+    assert found[:6] == ["email:15:26"] * 6 and found[6:] == ["email:15:27", "email:8:12", ""]
+    # Ordinary words behind a pattern count against it.
+    words = [f"it went to {w}" for w in "bed rest work town court print school church sleep market press waste".split()]
+    assert pii_found(spark, [f"it went to {c}{c}@host.org" for c in "abcd"] + words)[4:] == [""] * len(words)
