@@ -1,24 +1,26 @@
 """URL filter by association rules: FP-growth mines combinations of URL tokens that go with a label.
 
-Labelled urls become transactions of their tokens and a label item. Frequent itemsets give rules "tokens -> label",
-kept by support and confidence unless a shorter rule says the same at least as surely. A url is judged by an inverted
+Labelled urls become transactions of all their tokens. Frequent sets of tokens give rules "tokens -> label", kept by
+support and confidence unless a shorter rule says the same at least as surely. The sets are grown in parallel, one
+group a frequent token: its conditional base has the more frequent tokens of the transactions that it is in. A url is judged by an inverted
 index: each rule is listed under its rarest token, and is tried only on urls that have that token.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from math import ceil
 
 import pandas as pd
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: (host, path, verdict): fits the host and its subdomains where the path begins with the rule's; the longest wins.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Mining looks at the first MAX_ITEMS tokens of a labelled url and keeps rules of at most MAX_TOKENS of them. With the
-#: least support this bounds the number of rules, whatever the input: C(12, <=4) / 0.01 < 80,000.
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_ITEMS, MAX_TOKENS = 0.01, 0.8, 12, 4
+#: Rules have at most MAX_TOKENS tokens; transactions are mined whole. A rule holds in a share of MIN_SUPPORT at least, so
+#: there are at most C(n, <=4) / 0.01 rules if the urls have n frequent tokens: under 110,000 for 13 of them.
+MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.01, 0.8, 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,14 +53,59 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda x: ~x.isin("host:", "word:", "path:", "key:")))
 
 
+def _grow(base: list[tuple[tuple, Counter]], suffix: tuple, least: int) -> Iterator[tuple[tuple, Counter]]:
+    """(tokens, rows by label) of the sets that end in ``suffix`` and are frequent with a label.
+
+    ``base`` has the tokens before the suffix, most frequent first. A set of one label only is not grown on: longer
+    rules say the same, and none more surely."""
+    found: dict[int, Counter] = defaultdict(Counter)
+    for row, n in base:
+        for t in row:
+            found[t].update(n)
+    for t, n in found.items():
+        if max(n.values()) >= least:
+            yield (*suffix, t), n
+            if len(n) > 1 and len(suffix) + 1 < MAX_TOKENS:
+                shorter: dict[tuple, Counter] = defaultdict(Counter)
+                for row, m in base:
+                    if t in row:
+                        shorter[row[: row.index(t)]].update(m)
+                yield from _grow(list(shorter.items()), (*suffix, t), least)
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[frozenset, str, float, float]]:
     """Rules (tokens, label, confidence, support) from ``labelled`` (tokens, label); none without rows."""
-    items = labelled.where("label is not null").select(F.concat(F.slice("tokens", 1, MAX_ITEMS), F.array(F.concat(F.lit("label="), "label"))).alias("items"))
-    if items.isEmpty():
+    rows = labelled.where("label is not null").select("tokens", "label")
+    total = rows.count()
+    if not total:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    found = model.associationRules.where(F.col("consequent")[0].startswith("label=") & (F.size("antecedent") <= MAX_TOKENS))
-    rules = [(frozenset(r["antecedent"]), r["consequent"][0][6:], r["confidence"], r["support"]) for r in found.collect()]
+    least = max(1, ceil(min_support * total))
+    counts = rows.select("label", F.explode("tokens").alias("token")).groupBy("token", "label").count().groupBy("token").agg(F.max("count").alias("most"), F.sum("count").alias("n"))
+    names = [r["token"] for r in counts.where(F.col("most") >= least).orderBy(F.desc("n"), "token").collect()]
+    rank = {t: i for i, t in enumerate(names)}
+
+    def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n = Counter()
+            for row, label in zip(batch["tokens"], batch["label"]):
+                n[tuple(sorted(rank[t] for t in row if t in rank)), label] += 1
+            out = [(row[i], row[:i], label, m) for (row, label), m in n.items() for i in range(len(row))]
+            yield pd.DataFrame(out, columns=["item", "before", "label", "n"])
+
+    def grown(group: pd.DataFrame) -> pd.DataFrame:
+        item, base = int(group["item"].iloc[0]), defaultdict(Counter)
+        for row, label, n in zip(group["before"], group["label"], group["n"]):
+            base[tuple(int(t) for t in row)][label] += int(n)
+        whole: Counter = Counter()
+        for n in base.values():
+            whole.update(n)
+        sets = [((item,), whole), *(_grow(list(base.items()), (item,), least) if len(whole) > 1 else ())]
+        out = [([names[t] for t in tokens], label, m / sum(n.values()), m / total) for tokens, n in sets for label, m in n.items() if m >= least and m / sum(n.values()) >= min_confidence]
+        return pd.DataFrame(out, columns=["antecedent", "label", "confidence", "support"])
+
+    based = rows.mapInPandas(ranked, "item int, before array<int>, label string, n long").groupBy("item", "before", "label").agg(F.sum("n").alias("n"))
+    found = based.groupBy("item").applyInPandas(grown, "antecedent array<string>, label string, confidence double, support double")
+    rules = [(frozenset(r["antecedent"]), r["label"], r["confidence"], r["support"]) for r in found.collect()]
     rules.sort(key=lambda r: (len(r[0]), -r[2], sorted(r[0])))
     kept: list[tuple[frozenset, str, float, float]] = []
     by_token = defaultdict(list)

@@ -1,6 +1,7 @@
 """Each operator on small tables against brute force: nulls, empty and long texts, ties, repeats, extra columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -283,3 +284,26 @@ def test_personal_data_without_digits(spark):
     # Ordinary words behind a pattern count against it.
     words = [f"it went to {w}" for w in "bed rest work town court print school church sleep market press waste".split()]
     assert pii_found(spark, [f"it went to {c}{c}@host.org" for c in "abcd"] + words)[4:] == [""] * len(words)
+
+
+def test_url_rules_of_long_urls(spark):
+    # More than 12 tokens stand before the telling key.
+    long = "http://a.b.c.d.e.f.net/p/q/r/s"
+    rows = [(i, f"{long}?{'win' if i % 2 else 'x'}=1") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    host, path = url_filter.host_and_path(F.col("url"))
+    labelled = pages.select(url_filter.tokens(F.col("url"), host, path).alias("tokens"), F.when(F.col("page_id") % 2 == 1, "block").otherwise("allow").alias("label"))
+    assert labelled.select(F.min(F.size("tokens"))).first()[0] > 12
+    rules = url_filter.mine(labelled)
+    assert {(tuple(r[0]), *r[1:]) for r in rules} == {(("key:win",), "block", 1.0, 0.5), (("key:x",), "allow", 1.0, 0.5)}
+    r = random.Random(4)
+    data = [(sorted({r.choice("abcdefgh") for _ in range(6)}), r.choice("xxy")) for _ in range(60)]
+    got = {(x[0], x[1]): x[2:] for x in url_filter.mine(spark.createDataFrame(data, "tokens array<string>, label string"), 0.05, 0.7)}
+    every = {}
+    for size in range(1, 5):
+        for c in itertools.combinations("abcdefgh", size):
+            have = [y for t, y in data if set(c) <= set(t)]
+            for y in "xy":
+                if have.count(y) >= 3 and have.count(y) >= 0.7 * len(have):
+                    every[frozenset(c), y] = (have.count(y) / len(have), have.count(y) / 60)
+    assert got == {k: v for k, v in every.items() if not any(o[1] == k[1] and o[0] < k[0] and every[o][0] >= v[0] for o in every)}
