@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fairness: floa
     counts = texts.mapInArrow(_counts, "f long, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where("n >= 5")
     # How far the toxic share among documents with the feature is from the share at large, in standard deviations.
     far = (F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    best = counts.withColumn("far", far).where("abs(far) >= 4").orderBy(F.desc("far"), "f").limit(FEATURES).select("f").collect()
+    best = counts.withColumn("far", far).where("abs(far) >= 4").orderBy(F.abs("far").desc(), "f").limit(FEATURES).select("f").collect()
     terms = {_word_hash(t) for line in IDENTITY for t in line}
     hashes = np.unique(np.array([*(np.int64(r["f"]).view(_U) for r in best), *terms], _U))
     rows = texts.mapInArrow(_designed(hashes), "toxic int, own array<int>, swapped array<int>").collect()

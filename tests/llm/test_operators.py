@@ -307,3 +307,11 @@ def test_url_rules_of_long_urls(spark):
                 if have.count(y) >= 3 and have.count(y) >= 0.7 * len(have):
                     every[frozenset(c), y] = (have.count(y) / len(have), have.count(y) / 60)
     assert got == {k: v for k, v in every.items() if not any(o[1] == k[1] and o[0] < k[0] and every[o][0] >= v[0] for o in every)}
+
+
+def test_toxicity_cap_keeps_the_strongest_features_of_either_sign(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FEATURES", 4)  # of "lovely" there are four: the word and its beginnings
+    rows = [(i, "lovely" if i % 2 else " ".join(f"t{k}" for k in range(20) if (i // 2 + k) % 4)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(200)], "doc_id long, toxic int")
+    assert toxicity._word_hash("lovely") in toxicity.fit(docs, labels).hashes
