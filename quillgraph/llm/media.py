@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 
 #: Payloads are padded to multiples of FRAME; a short-time spectrum has FRAME samples, one each HOP.
 FRAME, HOP, RATE = 192, 96, 8000
-#: A peak is the strongest bin of a band; it is paired with the peaks of the next SPAN frames that are nearest.
+#: A peak is the strongest bin of a band; it is paired with the others of its frame and all peaks of the next FAN frames.
 BANDS, FAN = ((1, 12), (12, 32), (32, 97)), 3
 MEDIA = "doc_id long, n_bytes long, media binary"
 PRINTS = "doc_id long, n_bytes long, payload binary, media binary, fingerprint array<struct<t:int,code:int>>"
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 _PAD = b" "
 
@@ -55,16 +56,16 @@ def fingerprint(payload: bytes, block: int = 8192) -> tuple[np.ndarray, np.ndarr
             best = s[:, lo:hi].argmax(1)
             peaks[i : i + block, k] = best + lo
             level[i : i + block, k] = s[np.arange(len(s)), best + lo]
-    anchor = level.argmax(1)
-    t = np.arange(len(frames))
-    bins = peaks[t, anchor]
-    alive = level[t, anchor] > 1e-3  # flat frames have no peak
+    alive = level > 1e-3  # flat bands have no peak
+    t, n = np.arange(len(frames), dtype=np.int32), len(frames)
+    later = np.triu(np.ones((len(BANDS), len(BANDS)), bool), 1)
     times, codes = [], []
-    for d in range(1, FAN + 1):
-        a = t[:-d] if d < len(t) else t[:0]
-        a = a[alive[a] & alive[a + d]]
-        times.append(a)
-        codes.append(bins[a] << 16 | bins[a + d] << 4 | d)
+    for d in range(min(FAN, n - 1) + 1):
+        both = alive[: n - d, :, None] & alive[d:, None, :]
+        if d == 0:
+            both &= later  # each pair of a frame once
+        times.append(np.broadcast_to(t[: n - d, None, None], both.shape)[both])
+        codes.append((peaks[: n - d, :, None] << 16 | peaks[d:, None, :] << 4 | d)[both])
     times, codes = np.concatenate(times), np.concatenate(codes)
     order = np.argsort(times, kind="stable")
     return times[order].astype(np.int32), codes[order].astype(np.int32)
@@ -81,39 +82,44 @@ def store_media(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, MEDIA)
 
 
-def fingerprints(media: DataFrame) -> DataFrame:
-    """``media`` with the payload read back and its time-coded fingerprint."""
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 100):
+            part = batch.slice(i, 100)
+            payload = [from_wav(x) for x in part.column(2).to_pylist()]
+            prints = [fingerprint(x) for x in payload]
+            offsets = np.concatenate(([0], np.cumsum([len(t) for t, _ in prints]))).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([t for t, _ in prints])), pa.array(np.concatenate([c for _, c in prints]))], ["t", "code"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(payload, pa.binary()), part.column(2), pa.ListArray.from_arrays(offsets, pairs)], ["doc_id", "n_bytes", "payload", "media", "fingerprint"])
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    for batch in batches:
+        rows = []
+        prints = batch.column(4)
+        t, c = (prints.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        offs = prints.offsets.to_numpy()
+        for i in range(batch.num_rows):
+            payload, media = batch.column(2)[i].as_buffer(), batch.column(3)[i].as_buffer()
+            a, b = offs[i], offs[i + 1]
+            feature = f"{b - a}:{t[b - 1] if b > a else 0}:{hashlib.sha256(t[a:b].tobytes() + c[a:b].tobytes()).hexdigest()[:32]}"
+            rows.append((len(payload), sha(payload), zlib.crc32(memoryview(payload)[-16:]), len(media), sha(media), feature))
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], kinds[k]) for k in range(6))], ["doc_id", "n_bytes", *names])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                payload = [from_wav(x) for x in part.column(2).to_pylist()]
-                prints = [fingerprint(x) for x in payload]
-                offsets = np.concatenate(([0], np.cumsum([len(t) for t, _ in prints]))).astype(np.int32)
-                pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([t for t, _ in prints])), pa.array(np.concatenate([c for _, c in prints]))], ["t", "code"])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(payload, pa.binary()), part.column(2), pa.ListArray.from_arrays(offsets, pairs)], ["doc_id", "n_bytes", "payload", "media", "fingerprint"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, PRINTS)
+def fingerprints(media: DataFrame) -> DataFrame:
+    """``media`` with the payload read back and its time-coded fingerprint."""
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_printed, PRINTS)
 
 
 def digests(prints: DataFrame) -> DataFrame:
     """Checksums of what :func:`fingerprints` gives; ``feature`` has the number of pairs, the last time and a digest."""
+    return prints.mapInArrow(_digested, DIGESTS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in batches:
-            rows = []
-            prints = batch.column(4)
-            t, c = (prints.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            offs = prints.offsets.to_numpy()
-            for i in range(batch.num_rows):
-                payload, media = batch.column(2)[i].as_buffer(), batch.column(3)[i].as_buffer()
-                a, b = offs[i], offs[i + 1]
-                feature = f"{b - a}:{t[b - 1] if b > a else 0}:{hashlib.sha256(t[a:b].tobytes() + c[a:b].tobytes()).hexdigest()[:32]}"
-                rows.append((len(payload), sha(payload), zlib.crc32(memoryview(payload)[-16:]), len(media), sha(media), feature))
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], kinds[k]) for k in range(6))], ["doc_id", "n_bytes", *names])
-
-    return prints.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+def fingerprint_digests(media: DataFrame) -> DataFrame:
+    """:func:`digests` of the :func:`fingerprints` of ``media`` in one pass: the fingerprints never become rows."""
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lambda batches: _digested(_printed(batches)), DIGESTS)

@@ -315,3 +315,19 @@ def test_toxicity_cap_keeps_the_strongest_features_of_either_sign(spark, monkeyp
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(200)], "doc_id long, toxic int")
     assert toxicity._word_hash("lovely") in toxicity.fit(docs, labels).hashes
+
+
+def test_fingerprint_pairs_the_peaks_of_all_bands():
+    one, other = (media.fingerprint(media.padded(x)) for x in (b"one", b"two words"))
+    assert len(one[0]) == len(other[0]) == 3 and list(one[1]) != list(other[1])  # one frame, three bands
+    assert not len(media.fingerprint(media.padded(b""))[0])
+    x = np.random.default_rng(2).integers(0, 256, 192 * 4).astype(np.uint8).tobytes()
+    times, codes = media.fingerprint(x)  # 7 frames
+    assert len(codes) == 7 * 3 + 9 * (6 + 5 + 4) and list(times) == sorted(times)
+    assert sorted(set((codes & 15).tolist())) == [0, 1, 2, 3]
+
+
+def test_digests_in_one_pass(docs):
+    stored = media.store_media(docs)
+    rows = [sorted(map(tuple, d.collect())) for d in (media.digests(media.fingerprints(stored)), media.fingerprint_digests(stored))]
+    assert rows[0] == rows[1] and len(rows[0]) == len(corpus())
