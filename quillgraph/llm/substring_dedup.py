@@ -3,12 +3,14 @@
 A window is WINDOW consecutive words. Its anchor is the smallest hash among its ANCHOR-word phrases; equal windows have
 equal anchors, so only phrases that occur twice or more in the corpus can belong to recurring windows.
 
-1. Each text gives its distinct anchors, about one in twelve words. Phrases that recur are counted.
-2. Documents are streamed again with the recurring phrases that they hold. Each shard of documents compiles these into
-   an Aho-Corasick automaton over its words and locates every occurrence. A shard's automaton holds its own phrases
-   only, so its size is bounded by the shard's text however many phrases recur in the corpus.
+1. Each text gives its distinct anchors, about one in twelve words. Phrases that stand in two places are confirmed.
+2. The confirmed phrases are dealt to shards of about SHARD of them, those first seen in one text together. Each shard
+   compiles an Aho-Corasick automaton over words from its phrases, and the chunks of the documents are streamed through
+   it; the automaton alone says where phrases stand. A document goes through the shards that hold phrases of its
+   anchors; through the others it need not go, nothing of theirs can be the anchor of one of its windows.
 3. The windows around the occurrences are confirmed: neighbouring windows with one anchor form a run. A run whose words
-   recur as a whole is done; of anchors with other runs each window is counted by itself.
+   recur as a whole is done; of anchors with other runs each window is counted by itself. Words are compared by
+   128-bit digests.
 4. Words covered by confirmed windows go.
 
 Documents with equal texts are handled once: of these all windows recur.
@@ -25,14 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.words import _powers, grams, mix, slices
+from quillgraph.llm.words import Slice, _powers, grams, mix, slices
 from quillgraph.plans.durable import BROADCAST_ROWS, checked_broadcast, discard, durable
 
 WINDOW, ANCHOR = 35, 12
+#: Phrases that an automaton holds about, words of a chunk that is streamed through it, and of a shard's part.
+SHARD, CHUNK, PART = 60_000, 4096, 2_000_000
+#: A text's phrases share a shard, one for each so many of its words.
+SPREAD = 100_000
 _U = np.uint64
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _FIRST = "doc_id long, key binary, n_words long, sha string, anchors array<long>"
-_RUNS = "rid long, anchor long, start int, size int, whole long, windows array<long>"
+_RUN = {"rid": "long", "anchor": "long", "start": "int", "size": "int", "whole": "long", "whole2": "long", "windows": "array<long>", "windows2": "array<long>"}
+_RUNS = ", ".join(f"{k} {v}" for k, v in _RUN.items())
+_DEALT = "shard int, part int, kind int, at int, rid long, words binary"
 
 
 def _window_anchors(g: np.ndarray, window: int, anchor: int) -> np.ndarray:
@@ -80,62 +88,144 @@ def _first_pass(window: int, anchor: int):
     return run
 
 
-def _occurrences(letters: np.ndarray, first: np.ndarray, g: list[np.ndarray | None], known: list[np.ndarray], anchor: int) -> list[np.ndarray]:
-    """Where the recurring phrases of a shard's texts start in each text, by one automaton over its words."""
-    automaton = ahocorasick.Automaton()
-    text = letters.astype("<u4").tobytes().decode("utf-32-le")
-    for i, x in enumerate(g):
-        if x is not None:
-            for p in np.flatnonzero(np.isin(x, known[i])):
-                automaton.add_word(text[first[i] + p : first[i] + p + anchor], 0)
-    if not len(automaton):
-        return [np.zeros(0, np.int64)] * len(g)
-    automaton.make_automaton()
-    return [np.fromiter((e for e, _ in automaton.iter(text[first[i] : first[i + 1]])), np.int64) - (anchor - 1) if g[i] is not None else np.zeros(0, np.int64) for i in range(len(g))]
+def _deal(parts: int, window: int, anchor: int):
+    """Rows of the automata: phrases (kind 0) for their shard, and the chunks of each text (kind 1) for its shards.
 
+    A phrase is written out by the text that it is first seen in, once for each part of its shard."""
 
-def _letters(h: np.ndarray) -> np.ndarray:
-    """A code point for each distinct word of a shard; surrogates are left out."""
-    _, inverse = np.unique(h, return_inverse=True)
-    return np.where(inverse < 0xD700, inverse + 1, inverse + 0x1000)
-
-
-def _run_pass(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             phrases = batch.column(2)
-            values, offs = phrases.values.to_numpy(zero_copy_only=False).view(_U), phrases.offsets.to_numpy()
-            rid = batch.column(0).to_numpy()
+            value, own, shard = (phrases.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            offs, rid = phrases.offsets.to_numpy(), batch.column(0).to_numpy()
             for s in slices(batch.column(1)):
-                texts = range(len(s.first) - 1)
-                known = [values[offs[s.at + i] : offs[s.at + i + 1]] for i in texts]
-                g = [grams(s.hash[s.first[i] : s.first[i + 1]], anchor) if s.first[i + 1] - s.first[i] >= window else None for i in texts]
-                found = _occurrences(_letters(s.hash), s.first, g, known, anchor)
-                rows: dict[str, list] = {k: [] for k in ("rid", "anchor", "start", "size", "whole")}
-                windows = []
-                for i in texts:
-                    if g[i] is None or not len(found[i]):
-                        continue
-                    h = s.hash[s.first[i] : s.first[i + 1]]
-                    a = _window_anchors(g[i], window, anchor)
-                    ok = np.flatnonzero(np.isin(a, g[i][found[i]]))
-                    if not len(ok):
-                        continue
-                    each = grams(h, window)
-                    cut = np.flatnonzero((np.diff(ok) > 1) | (a[ok[1:]] != a[ok[:-1]])) + 1
-                    begin, end = ok[np.concatenate(([0], cut))], ok[np.concatenate((cut - 1, [len(ok) - 1]))] + 1
-                    p, inv = _powers(len(h) + 1)
-                    total = np.concatenate((np.zeros(1, _U), np.cumsum(h * p[: len(h)])))
-                    size = end - begin
-                    rows["whole"].append(mix((total[end + window - 1] - total[begin]) * inv[begin] ^ (size.astype(_U) * _U(0xD6E8FEB86659FD93))))
-                    rows["rid"].append(np.full(len(begin), rid[s.at + i]))
-                    rows["anchor"].append(a[begin])
-                    rows["start"].append(begin)
-                    rows["size"].append(size)
-                    windows += [each[x:y] for x, y in zip(begin, end)]
-                if windows:
-                    c = {k: np.concatenate(v) for k, v in rows.items()}
-                    yield pa.RecordBatch.from_arrays([pa.array(c["rid"]), pa.array(c["anchor"].view(np.int64)), pa.array(c["start"].astype(np.int32)), pa.array(c["size"].astype(np.int32)), pa.array(c["whole"].view(np.int64)), _list_array([w.view(np.int64) for w in windows], pa.int64())], ["rid", "anchor", "start", "size", "whole", "windows"])
+                raw = s.data.tobytes()
+                for i in range(len(s.first) - 1):
+                    x = slice(offs[s.at + i], offs[s.at + i + 1])
+                    lo, hi = s.first[i], s.first[i + 1]
+                    out: list[tuple[int, int, int, int, bytes]] = []
+                    if own[x].any():
+                        g = grams(s.hash[lo:hi], anchor)
+                        order = np.argsort(g, kind="stable")
+                        mine = np.flatnonzero(own[x]) + x.start
+                        at = order[np.searchsorted(g, value[mine].view(_U), sorter=order)] + lo
+                        for m, w in zip(shard[mine].tolist(), at.tolist()):
+                            words = b" ".join(raw[s.start[w] : s.end[w + anchor - 1]].split())
+                            out += [(m, part, 0, 0, words) for part in range(parts)]
+                    chunks = range(lo, max(lo + 1, hi - window + 1), CHUNK)
+                    spread = mix((rid[s.at + i] + (np.arange(len(chunks)) << 40)).view(_U)) % _U(parts)
+                    for at, part in zip(chunks, spread.tolist()):
+                        words = b" ".join(raw[s.start[at] : s.end[min(hi, at + CHUNK + window - 1) - 1]].split())
+                        out += [(m, part, 1, at - lo, words) for m in np.unique(shard[x]).tolist()]
+                    if out:
+                        m, part, kind, at, words = zip(*out)
+                        ints = [pa.array(c, pa.int32()) for c in (m, part, kind, at)]
+                        yield pa.RecordBatch.from_arrays([*ints, pa.array(np.full(len(out), rid[s.at + i])), pa.array(words, pa.binary())], ["shard", "part", "kind", "at", "rid", "words"])
+
+    return run
+
+
+class PhraseAutomaton:
+    """An Aho-Corasick automaton over words: a word of the phrases is a letter, or two if there are too many of them."""
+
+    def __init__(self, phrases: list[bytes], letters: int = 1_000_000):
+        h = [s.hash for s in slices(pa.array(phrases, pa.binary()))]
+        h = np.concatenate(h) if h else np.zeros(0, _U)
+        self.words, index = np.unique(h, return_inverse=True)
+        self.wide = len(self.words) >= letters
+        self.automaton = ahocorasick.Automaton()
+        if phrases:
+            n = len(h) // len(phrases) * (2 if self.wide else 1)
+            text = self._text(index)
+            for i in range(len(phrases)):
+                self.automaton.add_word(text[i * n : (i + 1) * n], n)
+            self.automaton.make_automaton()
+
+    def _text(self, index: np.ndarray) -> str:
+        """Letters of word numbers, -1 for words of no phrase. Surrogates are left out; first and second letters differ."""
+        if self.wide:
+            index = np.stack((np.where(index < 0, 0, index // 0x8000 + 1), 0x10000 + index % 0x8000), 1).ravel()
+        else:
+            index = index + 2
+        return np.where(index < 0xD800, index, index + 0x800).astype("<u4").tobytes().decode("utf-32-le")
+
+    def located(self, hashes: np.ndarray, first: np.ndarray, anchor: int) -> list[np.ndarray]:
+        """For each text, whose words lie between two of ``first``: where phrases of ``anchor`` words start."""
+        if not len(self.words):
+            return [np.zeros(0, np.int64)] * (len(first) - 1)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        text, k = self._text(np.where(self.words[at] == hashes, at, -1)), 2 if self.wide else 1
+        ends = (np.fromiter((e for e, _ in self.automaton.iter(text[a * k : b * k])), np.int64) for a, b in zip(first[:-1].tolist(), first[1:].tolist()))
+        return [(e + 1) // k - anchor for e in ends]
+
+
+def _digests(s: Slice, other: np.ndarray, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Both word hashes of a text with their powers' sums, from which hashes of any range of words come."""
+    for h in (s.hash[lo:hi], other[lo:hi]):
+        p, inv = _powers(len(h) + 1)
+        yield h, np.concatenate((np.zeros(1, _U), np.cumsum(h * p[: len(h)]))), inv
+
+
+def _runs(s: Slice, located: list[np.ndarray], rid: np.ndarray, at: np.ndarray, window: int, anchor: int) -> pa.RecordBatch | None:
+    """Runs of neighbouring windows with one located anchor, with 128-bit digests of the run and of each window."""
+    rows: dict[str, list] = {k: [] for k in ("rid", "anchor", "start", "size", "whole", "whole2")}
+    windows: tuple[list, list] = ([], [])
+    other = None
+    for i, found in enumerate(located):
+        lo, hi = s.first[i], s.first[i + 1]
+        if not len(found) or hi - lo < window:
+            continue
+        g = grams(s.hash[lo:hi], anchor)
+        mine = np.full(len(g), _U(2**64 - 1))
+        mine[found] = g[found]
+        a = _window_anchors(g, window, anchor)
+        ok = np.flatnonzero(_window_anchors(mine, window, anchor) == a)  # the least phrase of the window is located
+        if not len(ok):
+            continue
+        cut = np.flatnonzero((np.diff(ok) > 1) | (a[ok[1:]] != a[ok[:-1]])) + 1
+        begin, end = ok[np.concatenate(([0], cut))], ok[np.concatenate((cut - 1, [len(ok) - 1]))] + 1
+        size = end - begin
+        other = s.second() if other is None else other
+        for k, (h, total, inv) in enumerate(_digests(s, other, lo, hi)):
+            rows[("whole", "whole2")[k]].append(mix((total[end + window - 1] - total[begin]) * inv[begin] ^ (size.astype(_U) * _U(0xD6E8FEB86659FD93))))
+            each = grams(h, window).view(np.int64)
+            windows[k].extend(each[x:y] for x, y in zip(begin, end))
+        rows["rid"].append(np.full(len(begin), rid[s.at + i]))
+        rows["anchor"].append(a[begin])
+        rows["start"].append(begin + at[s.at + i])
+        rows["size"].append(size)
+    if not windows[0]:
+        return None
+    c = {k: np.concatenate(v) for k, v in rows.items()}
+    longs = {k: pa.array(c[k].view(np.int64)) for k in ("rid", "anchor", "whole", "whole2")}
+    ints = {k: pa.array(c[k].astype(np.int32)) for k in ("start", "size")}
+    lists = {k: _list_array(w, pa.int64()) for k, w in zip(("windows", "windows2"), windows)}
+    columns = longs | ints | lists
+    return pa.RecordBatch.from_arrays([columns[k] for k in _RUN], list(_RUN))
+
+
+def _locate(window: int, anchor: int):
+    """Compiles each shard's automaton from its phrases, which come first, and streams its chunks through it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, phrases, automaton = None, [], None
+        for batch in batches:
+            key = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)] if len(key) else []
+            for x, y in zip(cuts, cuts[1:]):
+                if last is None or (key[x, :2] != last).any():
+                    last, phrases, automaton = key[x, :2], [], None
+                words = batch.column(5).slice(x, y - x)
+                if key[x, 2] == 0:
+                    phrases += words.to_pylist()
+                    continue
+                if automaton is None:
+                    automaton, phrases = PhraseAutomaton(phrases), []
+                at, rid = batch.column(3).to_numpy()[x:y], batch.column(4).to_numpy()[x:y]
+                for s in slices(words):
+                    out = _runs(s, automaton.located(s.hash, s.first, anchor), rid, at, window, anchor)
+                    if out is not None:
+                        yield out
 
     return run
 
@@ -166,32 +256,39 @@ def _drop_pass(window: int):
 
 
 def _texts_of(keyed: DataFrame, table: DataFrame) -> DataFrame:
-    """``table`` (key, doc_id, ...) with the texts; texts of other keys are dropped before any exchange where possible."""
+    """``table`` (rid, key, doc_id, ...) with the texts; copies of a text go to as many places as they have doc_ids."""
     near = keyed.join(checked_broadcast(table.select("key").distinct()), "key", "left_semi")
-    t = table.withColumnRenamed("doc_id", "d")
-    return near.join(t, "key").where("doc_id <=> d").drop("d", "doc_id", "key").dropDuplicates(["rid"])
+    t = table.withColumnsRenamed({"doc_id": "_d", "key": "_k"})
+    return near.join(t, F.expr("key = _k and doc_id <=> _d")).drop("_d", "_k", "doc_id", "key").dropDuplicates(["rid"])
 
 
-def _recurring(docs: DataFrame, window: int, anchor: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _recurring(docs: DataFrame, window: int, anchor: int, shard: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(each row's first pass with rid and copies, the runs of recurring windows by rid, the texts by key)."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
     first = keyed.select("doc_id", "key", "text").mapInArrow(_first_pass(window, anchor), _FIRST)
     first = durable(first.withColumn("rid", F.monotonically_increasing_id()), "first")  # numbered once, as written
     copies = durable(first.groupBy("key").agg(F.count("*").alias("copies"), F.min("rid").alias("head")), "copies")
-    heads = first.where(f"n_words >= {window}").select("rid", "key", "doc_id", "anchors").join(checked_broadcast(copies.select(F.col("head").alias("rid"))), "rid", "left_semi")
-    listed = heads.select("rid", F.explode("anchors").alias("a"))
-    again = durable(listed.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "again")
-    # Which recurring phrases each document holds; the join is between exchanges of two tables, so hot phrases split.
-    held = listed.join(again, "a").groupBy("rid").agg(F.collect_set("a").alias("phrases"))
-    held = durable(held.join(first.select("rid", "key", "doc_id"), "rid"), "held")
-    discard(again)
-    runs = durable(_texts_of(keyed, held).select("rid", "text", "phrases").mapInArrow(_run_pass(window, anchor), _RUNS), "runs")
-    discard(held)
-    lone = runs.groupBy("whole").agg(F.count("*").alias("n"), F.min("anchor").alias("anchor")).where("n = 1").select("anchor")
+    heads = first.where(f"n_words >= {window}").join(checked_broadcast(copies.select(F.col("head").alias("rid"))), "rid", "left_semi")
+    listed = heads.select("rid", "n_words", F.explode("anchors").alias("a"))
+    # Confirmed phrases: those that stand in two places. The first text that has one writes it out.
+    again = listed.groupBy("a").agg(F.count("*").alias("n"), F.min(F.struct("rid", "n_words")).alias("home")).where("n > 1")
+    again = durable(again.selectExpr("a", "home.rid home", f"xxhash64(home.rid, pmod(a, 1 + home.n_words div {SPREAD})) deal"), "again")
+    shards = max(1, -(-again.count() // shard))
+    # Which shards each document is streamed through; the join is between exchanges of two tables, so hot phrases split.
+    held = listed.join(again, "a").groupBy("rid").agg(F.collect_set(F.struct("a", F.expr("home = rid").alias("own"), F.expr(f"cast(pmod(deal, {shards}) as int)").alias("shard"))).alias("phrases"))
+    held = durable(held.join(first.select("rid", "key", "doc_id", "n_words"), "rid"), "held")
+    size = held.agg(F.sum("n_words")).first()[0] or 0
+    parts = max(1, -(-size // (shards * PART)))
+    dealt = _texts_of(keyed, held.drop("n_words")).select("rid", "text", "phrases").mapInArrow(_deal(parts, window, anchor), _DEALT)
+    dealt = dealt.repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "kind")
+    runs = durable(dealt.mapInArrow(_locate(window, anchor), _RUNS), "runs")
+    for t in (again, held):
+        discard(t)
+    lone = runs.groupBy("whole", "whole2").agg(F.count("*").alias("n"), F.min("anchor").alias("anchor")).where("n = 1").select("anchor")
     lone = durable(lone.distinct(), "lone")
-    loose = durable(runs.join(lone, "anchor").select("rid", "start", F.posexplode("windows").alias("k", "h")), "loose")
-    twice = durable(loose.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
-    one = loose.join(twice, "h").select("rid", (F.col("start") + F.col("k")).alias("b"), (F.col("start") + F.col("k") + 1).alias("e"))
+    loose = durable(runs.join(lone, "anchor").select("rid", "start", F.posexplode(F.arrays_zip("windows", "windows2")).alias("k", "h")).select("rid", "start", "k", "h.windows", "h.windows2"), "loose")
+    twice = durable(loose.groupBy("windows", "windows2").agg(F.count("*").alias("n")).where("n > 1").select("windows", "windows2"), "twice")
+    one = loose.join(twice, ["windows", "windows2"]).select("rid", (F.col("start") + F.col("k")).alias("b"), (F.col("start") + F.col("k") + 1).alias("e"))
     full = runs.join(lone, "anchor", "left_anti").selectExpr("rid", "start b", "start + size e")
     spans = durable(full.union(one).groupBy("rid").agg(F.collect_list(F.struct("b", "e")).alias("spans")), "spans")
     for t in (runs, lone, loose, twice):
@@ -203,13 +300,13 @@ def _gone(window: int):
     return F.expr(f"copies > 1 and n_words >= {window}")
 
 
-def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard: int = SHARD) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for each row of ``docs`` (doc_id, text, ...).
 
     A word goes if a window that covers it also starts anywhere else; windows are judged on the input. The SHA-256 is
     of the kept words, joined by one space. Null texts have no words. Equal texts of a window or more vanish in all
     their copies, the first included; shorter texts stay. An empty table gives no rows."""
-    rows, spans, keyed = _recurring(docs, window, anchor)
+    rows, spans, keyed = _recurring(docs, window, anchor, shard)
     cut = durable(rows.where("copies = 1").select("rid", "key", "doc_id").join(spans, "rid"), "cut")
     cut = durable(_texts_of(keyed, cut).select("rid", "text", "spans").mapInArrow(_drop_pass(window), "rid long, removed long, kept string"), "kept")
     return rows.join(cut, "rid", "left").select(
@@ -219,12 +316,12 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     )
 
 
-def strip_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def strip_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard: int = SHARD) -> DataFrame:
     """``docs`` with the words of recurring passages taken out of the column text.
 
     Texts without such passages stay as they are; of the others the kept words are joined by one space, and n_chars,
     if there is such a column, follows. No row is dropped: a text of recurring passages only becomes empty."""
-    rows, spans, _ = _recurring(docs, window, anchor)
+    rows, spans, _ = _recurring(docs, window, anchor, shard)
     whole = rows.where(_gone(window)).select("key", F.array(F.struct(F.lit(0).alias("b"), (F.col("n_words") - (window - 1)).cast("int").alias("e"))).alias("spans")).dropDuplicates(["key"])
     marks = durable(rows.where("copies = 1").join(spans, "rid").select("key", "spans").union(whole).withColumnsRenamed({"key": "_qg_key", "spans": "_qg_spans"}), "marks")
     small = marks.agg(F.sum(F.size("_qg_spans"))).first()[0] or 0

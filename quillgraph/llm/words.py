@@ -21,6 +21,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
+_OTHER = np.random.default_rng(20250111).integers(1, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
 _P, _PINV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 _POW = {"p": np.ones(1, _U), "i": np.ones(1, _U)}
 
@@ -61,6 +62,13 @@ class Slice(NamedTuple):
         """Hashes of the byte ranges from ``start`` to ``end``."""
         return _hash(self.total, start, end)
 
+    def second(self) -> np.ndarray:
+        """Hashes of the words over another byte table: with ``hash`` they make 128 bits."""
+        p, _ = _powers(len(self.data) + 1)
+        total = np.zeros(len(self.data) + 1, _U)
+        np.cumsum(_OTHER[self.data] * p[: len(self.data)], out=total[1:])
+        return _hash(total, self.start, self.end)
+
 
 def slices(column: pa.Array, lower: bool = False, size: int = SLICE) -> Iterator[Slice]:
     """Slices of a string column; null counts as an empty text."""

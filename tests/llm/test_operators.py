@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillgraph.llm import bpe_replay, media, pii, token_store, toxicity, url_filter
+from quillgraph.llm import bpe_replay, media, pii, substring_dedup, token_store, toxicity, url_filter
 from quillgraph.llm.minhash_dedup import drop_near_duplicates, least_matches, near_duplicates
 from quillgraph.llm.packing import pack_documents, plan
 from quillgraph.llm.substring_dedup import repeated_passages, strip_passages
@@ -175,6 +175,54 @@ def test_repeated_passages(docs, empty):
     assert repeated_passages(empty).count() == 0 and strip_passages(empty).count() == 0
 
 
+def passages(n, seed):
+    """Texts that share passages of 30 to 90 words, so that some reach a window and some don't."""
+    r = random.Random(seed)
+    shared = [words(r.randint(30, 90), 1000 + k, 10**6) for k in range(25)]
+    out = []
+    for i in range(n):
+        w = words(r.randint(0, 120), 5000 + i, 10**6)
+        for _ in range(r.randint(0, 3)):
+            x = r.choice(shared)
+            w[len(w) // 2 : len(w) // 2] = x[: r.randint(20, len(x))]
+        out.append((i, r.choice([" ", "\n", "  "]).join(w)))
+    return out
+
+
+def test_passages_over_many_shards_chunks_and_slices(spark, monkeypatch):
+    rows = passages(300, 3) + [(1000, " ".join(words(9000, 70, 10**6) + words(60, 1003, 10**6)[:40]))] + [(None, "a b c"), (7, " ".join(words(50, 1004, 10**6)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = stripped([(k, t) for k, (_, t) in enumerate(rows)])
+    want = sorted((str(rows[k][0]), len(w), len(w) - len(kept)) for k, (w, kept) in want.items())
+    for shard in (10, substring_dedup.SHARD):
+        got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in repeated_passages(docs, shard=shard).collect())
+        assert got == want
+
+
+def test_only_the_automaton_locates_phrases():
+    text = " ".join(words(60, 1, 10**6)).encode()
+    phrases = [b" ".join(text.split()[k : k + 12]) for k in range(49)]
+
+    def runs(known):
+        rows = [(0, 0, 0, 0, 0, p) for p in known] + [(0, 0, 1, 0, 5, text)]
+        kinds = [pa.int32()] * 4 + [pa.int64(), pa.binary()]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["shard", "part", "kind", "at", "rid", "words"])
+        return sum(sum(b.column(3).to_pylist()) for b in substring_dedup._locate(35, 12)([batch]))
+
+    assert runs(phrases) == 26 and runs([]) == 0 and 0 < runs(phrases[:20]) < 26
+    narrow, wide = (substring_dedup.PhraseAutomaton(phrases[::5], n) for n in (10**6, 10))
+    (s,) = substring_dedup.slices(pa.array([text]))
+    assert wide.wide and not narrow.wide
+    assert [sorted(a.located(s.hash, s.first, 12)[0]) for a in (narrow, wide)] == [list(range(0, 49, 5))] * 2
+
+
+def test_a_text_of_more_distinct_words_than_code_points(spark):
+    shared = " ".join(words(50, 4, 10**6))
+    rows = [(1, " ".join(f"v{k}" for k in range(1_200_000)) + " " + shared), (2, "start " + shared)]
+    got = {r["doc_id"]: r["n_removed"] for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 50, 2: 50}
+
+
 def test_toxicity_and_its_counterfactuals(spark, empty):
     r = random.Random(5)
     rows, labels = [], []
