@@ -33,6 +33,8 @@ from quillgraph.plans.durable import BROADCAST_ROWS, checked_broadcast, discard,
 WINDOW, ANCHOR = 35, 12
 #: Phrases that an automaton holds about, words of a chunk that is streamed through it, and of a shard's part.
 SHARD, CHUNK, PART = 60_000, 4096, 2_000_000
+#: Letters that words are mapped to.
+LETTERS = 64
 #: A text's phrases share a shard, one for each so many of its words.
 SPREAD = 100_000
 _U = np.uint64
@@ -126,37 +128,34 @@ def _deal(parts: int, window: int, anchor: int):
 
 
 class PhraseAutomaton:
-    """An Aho-Corasick automaton over words: a word of the phrases is a letter, or two if there are too many of them."""
+    """An Aho-Corasick automaton of phrases of ``anchor`` words. A letter stands for all words of one hash modulo LETTERS.
 
-    def __init__(self, phrases: list[bytes], letters: int = 1_000_000):
+    The automaton looks a letter up by trying a node's branches one by one, so few letters make it fast; that two phrases
+    may be spelt alike is made good by comparing the hash of what was located with those of the phrases."""
+
+    def __init__(self, phrases: list[bytes], anchor: int):
+        self.anchor = anchor
         h = [s.hash for s in slices(pa.array(phrases, pa.binary()))]
         h = np.concatenate(h) if h else np.zeros(0, _U)
-        self.words, index = np.unique(h, return_inverse=True)
-        self.wide = len(self.words) >= letters
+        self.phrases = np.sort(grams(h, anchor)[::anchor])
+        text = self._text(h)
         self.automaton = ahocorasick.Automaton()
-        if phrases:
-            n = len(h) // len(phrases) * (2 if self.wide else 1)
-            text = self._text(index)
-            for i in range(len(phrases)):
-                self.automaton.add_word(text[i * n : (i + 1) * n], n)
+        for i in range(0, len(h), anchor):
+            self.automaton.add_word(text[i : i + anchor], anchor)
+        if len(h):
             self.automaton.make_automaton()
 
-    def _text(self, index: np.ndarray) -> str:
-        """Letters of word numbers, -1 for words of no phrase. Surrogates are left out; first and second letters differ."""
-        if self.wide:
-            index = np.stack((np.where(index < 0, 0, index // 0x8000 + 1), 0x10000 + index % 0x8000), 1).ravel()
-        else:
-            index = index + 2
-        return np.where(index < 0xD800, index, index + 0x800).astype("<u4").tobytes().decode("utf-32-le")
+    @staticmethod
+    def _text(h: np.ndarray) -> str:
+        return ((h >> _U(9)) % _U(LETTERS) + _U(48)).astype(np.uint8).tobytes().decode("latin-1")
 
-    def located(self, hashes: np.ndarray, first: np.ndarray, anchor: int) -> list[np.ndarray]:
-        """For each text, whose words lie between two of ``first``: where phrases of ``anchor`` words start."""
-        if not len(self.words):
-            return [np.zeros(0, np.int64)] * (len(first) - 1)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        text, k = self._text(np.where(self.words[at] == hashes, at, -1)), 2 if self.wide else 1
-        ends = (np.fromiter((e for e, _ in self.automaton.iter(text[a * k : b * k])), np.int64) for a, b in zip(first[:-1].tolist(), first[1:].tolist()))
-        return [(e + 1) // k - anchor for e in ends]
+    def located(self, h: np.ndarray) -> np.ndarray:
+        """Where phrases start in a text with the word hashes ``h``."""
+        if not len(self.phrases) or len(h) < self.anchor:
+            return np.zeros(0, np.int64)
+        at = np.fromiter((e for e, _ in self.automaton.iter(self._text(h))), np.int64) - (self.anchor - 1)
+        found = grams(h, self.anchor)[at]
+        return at[self.phrases[np.minimum(np.searchsorted(self.phrases, found), len(self.phrases) - 1)] == found]
 
 
 def _digests(s: Slice, other: np.ndarray, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -166,13 +165,14 @@ def _digests(s: Slice, other: np.ndarray, lo: int, hi: int) -> Iterator[tuple[np
         yield h, np.concatenate((np.zeros(1, _U), np.cumsum(h * p[: len(h)]))), inv
 
 
-def _runs(s: Slice, located: list[np.ndarray], rid: np.ndarray, at: np.ndarray, window: int, anchor: int) -> pa.RecordBatch | None:
+def _runs(s: Slice, automaton: PhraseAutomaton, rid: np.ndarray, at: np.ndarray, window: int, anchor: int) -> pa.RecordBatch | None:
     """Runs of neighbouring windows with one located anchor, with 128-bit digests of the run and of each window."""
     rows: dict[str, list] = {k: [] for k in ("rid", "anchor", "start", "size", "whole", "whole2")}
     windows: tuple[list, list] = ([], [])
     other = None
-    for i, found in enumerate(located):
+    for i in range(len(s.first) - 1):
         lo, hi = s.first[i], s.first[i + 1]
+        found = automaton.located(s.hash[lo:hi])
         if not len(found) or hi - lo < window:
             continue
         g = grams(s.hash[lo:hi], anchor)
@@ -220,10 +220,10 @@ def _locate(window: int, anchor: int):
                     phrases += words.to_pylist()
                     continue
                 if automaton is None:
-                    automaton, phrases = PhraseAutomaton(phrases), []
+                    automaton, phrases = PhraseAutomaton(phrases, anchor), []
                 at, rid = batch.column(3).to_numpy()[x:y], batch.column(4).to_numpy()[x:y]
                 for s in slices(words):
-                    out = _runs(s, automaton.located(s.hash, s.first, anchor), rid, at, window, anchor)
+                    out = _runs(s, automaton, rid, at, window, anchor)
                     if out is not None:
                         yield out
 
@@ -280,7 +280,7 @@ def _recurring(docs: DataFrame, window: int, anchor: int, shard: int) -> tuple[D
     size = held.agg(F.sum("n_words")).first()[0] or 0
     parts = max(1, -(-size // (shards * PART)))
     dealt = _texts_of(keyed, held.drop("n_words")).select("rid", "text", "phrases").mapInArrow(_deal(parts, window, anchor), _DEALT)
-    dealt = dealt.repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "kind")
+    dealt = dealt.repartition(2 * shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "kind")
     runs = durable(dealt.mapInArrow(_locate(window, anchor), _RUNS), "runs")
     for t in (again, held):
         discard(t)
