@@ -90,7 +90,7 @@ def _first_pass(window: int, anchor: int):
     return run
 
 
-def _deal(parts: int, window: int, anchor: int):
+def _deal(parts: np.ndarray, window: int, anchor: int):
     """Rows of the automata: phrases (kind 0) for their shard, and the chunks of each text (kind 1) for its shards.
 
     A phrase is written out by the text that it is first seen in, once for each part of its shard."""
@@ -113,12 +113,12 @@ def _deal(parts: int, window: int, anchor: int):
                         at = order[np.searchsorted(g, value[mine].view(_U), sorter=order)] + lo
                         for m, w in zip(shard[mine].tolist(), at.tolist()):
                             words = b" ".join(raw[s.start[w] : s.end[w + anchor - 1]].split())
-                            out += [(m, part, 0, 0, words) for part in range(parts)]
+                            out += [(m, part, 0, 0, words) for part in range(parts[m])]
                     chunks = range(lo, max(lo + 1, hi - window + 1), CHUNK)
-                    spread = mix((rid[s.at + i] + (np.arange(len(chunks)) << 40)).view(_U)) % _U(parts)
+                    spread = mix((rid[s.at + i] + (np.arange(len(chunks)) << 40)).view(_U))
                     for at, part in zip(chunks, spread.tolist()):
                         words = b" ".join(raw[s.start[at] : s.end[min(hi, at + CHUNK + window - 1) - 1]].split())
-                        out += [(m, part, 1, at - lo, words) for m in np.unique(shard[x]).tolist()]
+                        out += [(m, part % int(parts[m]), 1, at - lo, words) for m in np.unique(shard[x]).tolist()]
                     if out:
                         m, part, kind, at, words = zip(*out)
                         ints = [pa.array(c, pa.int32()) for c in (m, part, kind, at)]
@@ -277,10 +277,12 @@ def _recurring(docs: DataFrame, window: int, anchor: int, shard: int) -> tuple[D
     # Which shards each document is streamed through; the join is between exchanges of two tables, so hot phrases split.
     held = listed.join(again, "a").groupBy("rid").agg(F.collect_set(F.struct("a", F.expr("home = rid").alias("own"), F.expr(f"cast(pmod(deal, {shards}) as int)").alias("shard"))).alias("phrases"))
     held = durable(held.join(first.select("rid", "key", "doc_id", "n_words"), "rid"), "held")
-    size = held.agg(F.sum("n_words")).first()[0] or 0
-    parts = max(1, -(-size // (shards * PART)))
+    load = held.select(F.explode(F.array_distinct("phrases.shard")).alias("shard"), "n_words").groupBy("shard").agg(F.sum("n_words").alias("n"))
+    parts = np.ones(shards, np.int64)  # of each shard, by the words that it sees; one number for SHARD phrases
+    for r in load.collect():
+        parts[r["shard"]] = -(-r["n"] // PART)
     dealt = _texts_of(keyed, held.drop("n_words")).select("rid", "text", "phrases").mapInArrow(_deal(parts, window, anchor), _DEALT)
-    dealt = dealt.repartition(2 * shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "kind")
+    dealt = dealt.repartition(2 * int(parts.sum()), "shard", "part").sortWithinPartitions("shard", "part", "kind")
     runs = durable(dealt.mapInArrow(_locate(window, anchor), _RUNS), "runs")
     for t in (again, held):
         discard(t)
