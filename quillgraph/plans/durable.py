@@ -10,7 +10,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a one-column key table is broadcast; beyond it the same join shuffles.
@@ -45,6 +45,12 @@ def discard(df: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, with a broadcast hint if it has no more than ``rows`` rows. ``df`` should be durable: it is counted."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """``df``, with a broadcast hint if it has no more than ``rows`` rows. ``df`` should be durable: it is counted.
+
+    ``weight`` is what a row counts for, as of a column of arrays their size."""
+    if weight is None:
+        small = df.limit(rows + 1).count() <= rows
+    else:
+        small = (df.agg(F.sum(weight)).first()[0] or 0) <= rows
+    return F.broadcast(df) if small else df
