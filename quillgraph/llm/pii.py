@@ -1,14 +1,15 @@
 """Personal data by patterns and by bootstrapped contextual extraction, in DataFrame functions only.
 
-Base entities are found by fixed patterns. They seed the bootstrap: the words before an entity are a lexical pattern,
-and patterns and instances form a bipartite graph. In each round a pattern scores the mean score of its instances,
-seeds having 1, and an instance the best score of its patterns. Patterns with enough distinct seeds and a high score
-then mark the unseen identifiers that stand behind the same words. Every word behind a pattern is an instance, with
-digits or without; ordinary words behind it lower its score.
+Base entities are found by fixed patterns; they and digests in hex are the seeds. The words around a seed are its
+lexical patterns: the word before, the two words before, and the words before and behind. Patterns with several distinct
+seeds, which make up a fair share of the words in their place, form a bipartite graph with all the words in their places,
+whatever these look like. In each round a pattern scores the mean score of its instances, seeds having 1, and an
+instance the best score of its patterns. Patterns of a high score then mark the unseen identifiers in their places.
 
 The regular expressions begin only at the start of a run and repeat single characters, not groups, so they take time
 in proportion to the text and no stack. Where a group repeats in the definition, its separators are first replaced by
-a mark of the same length (U+0001; an own U+0001 of the text counts as U+0002).
+a mark of the same length (U+0001; an own U+0001 of the text counts as U+0002). Long texts are cut into pieces where no
+match can go on, so that what is done for each span takes no longer in a long text.
 """
 
 from __future__ import annotations
@@ -18,18 +19,25 @@ from pyspark.sql import functions as F
 
 from quillgraph.plans.durable import checked_broadcast, discard, durable
 
-KINDS = ("email", "ip", "card", "phone")
-#: Distinct seeds that a pattern needs, the score from which it is trusted, and rounds of scoring.
-SUPPORT, TRUST, ROUNDS = 3, 0.8, 3
+#: Kinds of spans. Secrets are only found by the bootstrap, the others also by base patterns.
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: Distinct seeds that a pattern needs, the share of its occurrences that seeds must make up for it to be scored at
+#: all, the score from which it is trusted, and rounds of scoring.
+SUPPORT, SHARE, TRUST, ROUNDS = 3, 0.5, 0.7, 3
+#: Characters from which on a text is worked on in pieces, and those of a neighbour piece that a context may reach.
+PIECE, REACH = 4000, 200
 _MARK, _OTHER = "\u0001", "\u0002"
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+\x01-]))[A-Za-z0-9._%+\x01-]+@[A-Za-z0-9-]+\x01[A-Za-z0-9\x01-]+"
 _IP = r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _CARD = r"(?<![0-9\x01])[0-9][0-9\x01]{13,}"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A word with the blanks behind it, and the one or two words that end a text.
-_WORD, _BLANKS = r"\S+\s*", " \t\n\x0b\f\r"
-_BEFORE = r"(\S+\s+\S+|\S+)\s*$"
+#: Seeds of secrets: digests in lower-case hex. Alone they may be checksums; only their patterns say what is a secret.
+_DIGEST = r"(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9])"
+#: No match of any kind goes on over a line's end, or over a blank between letters.
+_CUT = r"(?s).{%d,}?(?:\n|(?<=[A-Za-z])\x20(?=[A-Za-z]))|.+"
+#: A word with the blanks behind it; marks around a word that are not part of what it names.
+_WORD, _BLANKS, _OPEN, _CLOSE = r"\S+\s*", " \t\n\x0b\f\r", "^[\"'(\\[{<]+", "[\"')\\]}>,;:!?.#%$*]+$"
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -78,76 +86,174 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _context(before: Column) -> Column:
-    """The last two words, lower-cased, numbers as 0; empty at the start of a text."""
-    return F.regexp_replace(F.lower(F.regexp_replace(F.regexp_extract(F.right(before, F.lit(120)), _BEFORE, 1), r"\s+", " ")), "[0-9]+", "0")
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_WORD), 0)
 
 
-def _seeds(texts: DataFrame) -> DataFrame:
-    """(context, value, kind), distinct: the base entities of the texts behind their patterns."""
-    t = F.col("text")
-    some = texts.where(t.rlike("[0-9]") | t.contains("@")).select("text", base_spans(t).alias("base"))
-    seeds = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), F.substr(t, s["start"] + 1, s["end"] - s["start"]).alias("value"), _context(F.substr(t, F.greatest(F.lit(1), s["start"] - 119), F.least(F.lit(120), s["start"]))).alias("context")))
-    return some.select(F.inline(seeds)).where("context <> ''").select("context", "value", "kind").distinct()
+def _plain(word: Column) -> Column:
+    """A word as patterns see it: lower-cased, numbers as 0, without blanks."""
+    return F.regexp_replace(F.lower(F.rtrim(word, F.lit(_BLANKS))), "[0-9]+", "0")
+
+
+def _keys(far: Column, near: Column, behind: Column) -> Column:
+    """Keys of the patterns of a place: the word before, the two before, the one before and the one behind.
+
+    Null where a word is missing. Keys are 64-bit hashes; a pattern that shares a key is scored with it."""
+    one = F.when(near != "", F.xxhash64(F.lit(1), near))
+    return F.array(one, F.when((near != "") & (far != ""), F.xxhash64(F.lit(2), far, near)), F.when((near != "") & (behind != ""), F.xxhash64(F.lit(3), near, behind)))
+
+
+def _pieces(texts: DataFrame) -> DataFrame:
+    """(key, at, text, before, behind): pieces of the texts (key, text), with what stands around them."""
+    cut = F.when(F.length("text") <= PIECE, F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(_CUT % PIECE), 0))
+    sizes = F.transform("cut", F.length)
+    some = texts.select("key", cut.alias("cut")).select("key", "cut", sizes.alias("sizes"))
 
+    def piece(x, i):
+        at = F.aggregate(F.slice("sizes", 1, i), F.lit(0), lambda a, b: a + b)
+        side = lambda j: F.coalesce(F.get("cut", j), F.lit(""))
+        return F.struct(at.alias("at"), x.alias("text"), F.right(F.when(i > 0, side(i - 1)).otherwise(""), F.lit(REACH)).alias("before"), F.left(side(i + 1), F.lit(REACH)).alias("behind"))
 
-def _words(texts: DataFrame) -> DataFrame:
-    """(key, i, context, value): each word behind another, with the context that a seed in its place would have."""
+    return some.select("key", F.inline(F.transform("cut", piece)))
+
+
+def _around(before: Column, behind: Column) -> Column:
+    """Pattern keys of the place between two texts; a word that touches the place is not part of them."""
+    left, right = _words(F.regexp_extract(before, r"^(?s)(.*?)\S*$", 1)), _words(F.regexp_extract(behind, r"^(?s)\S*(.*)$", 1))
+    back = lambda k: F.when(F.size(left) >= k, _plain(F.get(left, F.size(left) - k)))
+    ahead = F.regexp_extract(_plain(F.get(F.filter(right, lambda w: F.length(F.trim(w, F.lit(_BLANKS))) > 0), F.lit(0))), "^(.*)$", 1)
+    return _keys(back(2), back(1), ahead)
+
+
+def _found(pieces: DataFrame) -> DataFrame:
+    """(key, at, base, seeds): base spans of the pieces that have some, or digests; seeds are (keys, value, kind)."""
     t = F.col("text")
-    plain = F.regexp_replace(F.lower(t), "[0-9]+", "0")
-    cut = texts.select("key", F.regexp_extract_all(t, F.lit(_WORD), 0).alias("words"), F.regexp_extract_all(plain, F.lit(r"\S+"), 0).alias("plain"))
-
-    def word(x, i):
-        far, near = F.coalesce(F.get("words", i - 2), F.lit("")), F.get("words", i - 1)
-        short = F.length(far) + F.length(near) <= 120  # else the context is cut as a seed's is
-        context = F.when(i == 0, "").when(short, F.concat_ws(" ", F.get("plain", i - 2), F.get("plain", i - 1))).otherwise(_context(F.concat(far, near)))
-        return F.struct(context.alias("context"), F.rtrim(x, F.lit(_BLANKS)).alias("value"))
-
-    return cut.select("key", F.posexplode(F.transform("words", word)).alias("i", "x")).select("key", "i", "x.context", "x.value").where("context <> ''")
-
-
-def bootstrap(texts: DataFrame, support: int = SUPPORT, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
-    """(key, extra): spans that trusted patterns mark in the texts (key, text), base entities not yet taken off."""
-    seeds = durable(_seeds(texts), "seeds")
-    # A pattern needs enough distinct seeds; only its occurrences matter from here on.
-    patterns = durable(seeds.groupBy("context").agg(F.count("*").alias("n"), F.mode("kind").alias("kind")).where(F.col("n") >= support).select("context", "kind"), "patterns")
-    hits = durable(_words(texts).join(checked_broadcast(patterns), "context").dropDuplicates(["key", "i"]), "hits")
-    links = durable(hits.select("context", "value").union(seeds.join(checked_broadcast(patterns.select("context")), "context", "left_semi").select("context", "value")).distinct(), "links")
-    # A word around a base entity, as with a mark behind it, is as sure as the entity.
-    around = links.select("value").distinct().where(F.col("value").rlike("[0-9]") | F.col("value").contains("@")).where(F.size(base_spans(F.col("value"))) > 0)
-    sure = durable(seeds.select("value").union(around).distinct().withColumn("score", F.lit(1.0)), "sure")
-    instances = links.select("value").distinct().join(sure, "value", "left").select("value", F.coalesce("score", F.lit(0.0)).alias("score"))
-    scored = None
-    for _ in range(rounds):
-        scored = durable(links.join(instances, "value").groupBy("context").agg(F.avg("score").alias("trust")), "scored")
-        best = links.join(scored, "context").groupBy("value").agg(F.max("trust").alias("trust"))
-        instances = durable(best.join(sure, "value", "left").select("value", F.coalesce("score", "trust").alias("score")), "instances")
-    good = durable(hits.join(scored.where(F.col("trust") >= trust).select("context"), "context", "left_semi").select("key", "i", "kind"), "good")
-    # Places: running lengths of the words and blanks, only in texts that a trusted pattern marks.
-    marked = texts.join(checked_broadcast(good.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
-    sizes = marked.select("key", F.length(F.regexp_extract("text", r"^\s*", 0)).alias("lead"), F.posexplode(F.regexp_extract_all("text", F.lit(_WORD), 0)).alias("i", "x"))
-    sizes = sizes.select("key", "i", "lead", F.length("x").alias("all"), F.length(F.rtrim("x", F.lit(_BLANKS))).alias("n"))
-    before = Window.partitionBy("key").orderBy("i")
-    placed = sizes.select("key", "i", (F.col("lead") + F.sum("all").over(before) - F.col("all") + F.col("n")).cast("int").alias("end"), "n")
-    extra = placed.join(good, ["key", "i"]).groupBy("key").agg(F.collect_list(F.struct((F.col("end") - F.col("n")).alias("start"), "kind", "end")).cast(SPAN).alias("extra"))
+    digest = F.when(t.rlike(_DIGEST), _placed(t, _DIGEST, KINDS.index("secret"), lambda x: x.rlike("[0-9]") & x.rlike("[a-f]"))).otherwise(F.array().cast(SPAN))
+    some = pieces.where(t.rlike("[0-9]") | t.contains("@")).select("key", "at", "text", "before", "behind", base_spans(t).alias("base"), digest.alias("digest"))
+
+    def seed(s):
+        left = F.concat("before", F.substr(t, F.greatest(F.lit(1), s["start"] - (REACH - 1)), F.least(F.lit(REACH), s["start"])))
+        right = F.concat(F.substr(t, s["end"] + 1, F.lit(REACH)), "behind")
+        return F.struct(_around(left, right).alias("keys"), F.substr(t, s["start"] + 1, s["end"] - s["start"]).alias("value"), s["kind"].alias("kind"))
+
+    return some.where((F.size("base") > 0) | (F.size("digest") > 0)).select("key", "at", "base", F.transform(F.concat("base", "digest"), seed).alias("seeds"))
+
+
+def _places(pieces: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(key, at, lead, words, i, form, pattern, ...) for each place in the pieces of one of the ``patterns``.
+
+    Words go on only behind a word (``near``) that some pattern has; that look-up comes first, as most end there."""
+    lower = F.regexp_replace(F.lower("text"), "[0-9]+", "0")
+    left, right = _words(F.col("before")), _words(F.col("behind"))
+    last = lambda k: F.when((F.col("before") != "") & (F.size(left) >= k), _plain(F.get(left, F.size(left) - k))).otherwise("")
+    ahead = F.when(F.col("behind") != "", F.coalesce(_plain(F.get(right, F.lit(0))), F.lit(""))).otherwise("")
+    row = F.concat(F.array(last(2), last(1)), F.regexp_extract_all(lower, F.lit(r"\S+"), 0), F.array(ahead))
+    around = pieces.select("key", "at", F.length(F.regexp_extract("text", r"^\s*", 0)).alias("lead"), _words(F.col("text")).alias("words"), row.alias("row"))
+    from_ = lambda k: F.slice("row", k, F.greatest(F.size("row") - 3, F.lit(0)))
+    zipped = F.arrays_zip(from_(1).alias("far"), from_(2).alias("near"), from_(4).alias("behind"))
+    each = around.select("key", "at", "lead", "words", F.posexplode(zipped).alias("i", "x"))
+    each = each.withColumn("near", F.when(F.col("x.near") != "", F.xxhash64(F.lit(1), F.col("x.near"))))
+    each = each.join(checked_broadcast(patterns.select("near").distinct()), "near", "left_semi")
+    keys = _keys(F.col("x.far"), F.col("x.near"), F.col("x.behind"))
+    each = each.select("key", "at", "lead", "words", "i", F.posexplode(keys).alias("form", "pattern")).where("pattern is not null")
+    return each.join(checked_broadcast(patterns.drop("near")), "pattern")
+
+
+def _scored(links: DataFrame, sure: DataFrame, rounds: int) -> DataFrame:
+    """(pattern, trust) after ``rounds`` over the graph ``links`` (pattern, form, value); the values ``sure`` have 1.
+
+    A pattern gives its instances credit with other patterns of its form only: not with itself, and not with those of
+    other forms, which stand in the same places and are no evidence of their own."""
+    links = durable(links.join(sure.withColumn("sure", F.lit(1.0)), "value", "left"), "graph")
+    scored = durable(links.groupBy("pattern").agg(F.avg(F.coalesce("sure", F.lit(0.0))).alias("trust")), "scored")
+    for _ in range(rounds - 1):
+        credit = links.join(scored, "pattern")
+        best = credit.groupBy("form", "value").agg(F.max(F.struct("trust", "pattern")).alias("best"))
+        credit = credit.join(best, ["form", "value"])
+        second = credit.where("pattern <> best.pattern").groupBy("form", "value").agg(F.max("trust").alias("second"))
+        score = F.coalesce("sure", F.when(F.expr("pattern = best.pattern"), F.coalesce("second", F.lit(0.0))).otherwise(F.col("best.trust")))
+        scored = durable(credit.join(second, ["form", "value"], "left").groupBy("pattern").agg(F.avg(score).alias("trust")), "scored")
+    discard(links)
+    return scored
+
+
+def bootstrap(pieces: DataFrame, found: DataFrame, support: int = SUPPORT, share: float = SHARE, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
+    """(key, at, extra): spans, within their piece, that trusted patterns mark beside the base spans ``found``."""
+    seeds = durable(found.select(F.inline("seeds")).select(F.posexplode("keys").alias("form", "pattern"), F.get("keys", F.lit(0)).alias("near"), "value", "kind").where("pattern is not null"), "seeds")
+    # Each kind of a pattern's distinct seeds; the most frequent one names what the pattern finds, the first of equals.
+    kinds = seeds.groupBy("pattern", "near", "kind", "value").agg(F.count("*").alias("n")).groupBy("pattern", "near", "kind").agg(F.count("*").alias("d"), F.sum("n").alias("n"))
+    patterns = kinds.groupBy("pattern").agg(F.min("near").alias("near"), F.sum("d").alias("d"), F.sum("n").alias("n"), F.max(F.struct("d", -F.col("kind"))).alias("top"))
+    patterns = durable(patterns.where(F.col("d") >= support).selectExpr("pattern", "near", "n", "-top.col2 kind"), "patterns")
+    # Words in the places of each pattern, counted where they stand: patterns that mostly name other things end here.
+    seen = durable(_places(pieces, patterns.select("pattern", "near")).groupBy("pattern").agg(F.count("*").alias("all")), "seen")
+    likely = durable(patterns.join(seen, "pattern").where(F.col("n") >= share * F.col("all")).select("pattern", "near", "kind"), "likely")
+    hits = _places(pieces, likely).select("key", "at", "form", "pattern", "kind", F.get("words", F.col("i")).alias("word"), F.expr("lead + aggregate(transform(slice(words, 1, i), w -> length(w)), 0, (a, b) -> a + b)").alias("start"))
+    hits = hits.dropDuplicates(["key", "at", "start", "pattern"])
+    word = F.rtrim("word", F.lit(_BLANKS))
+    core = F.regexp_replace(word, _OPEN, "")
+    value = F.regexp_replace(core, _CLOSE, "")
+    start = F.col("start") + F.length(word) - F.length(core)
+    hits = hits.select("key", "at", "form", "pattern", "kind", value.alias("value"), start.cast("int").alias("start"), (start + F.length(value)).cast("int").alias("end")).where("value <> ''")
+    base = found.where(F.size("base") > 0).select("key", "at", "base").dropDuplicates(["key", "at"])
+    hits = hits.join(base, ["key", "at"], "left").withColumn("known", F.expr("coalesce(exists(base, b -> start < b.end and b.start < end), false)")).drop("base")
+    hits = durable(hits, "hits")
+    links = hits.select("pattern", "form", "value").union(seeds.join(checked_broadcast(likely.select("pattern")), "pattern", "left_semi").select("pattern", "form", "value")).distinct()
+    # A word that is part of a base entity, as with a mark behind it, is as sure as the entity.
+    sure = durable(seeds.select("value").union(hits.where("known").select("value")).distinct(), "sure")
+    scored = _scored(links, sure, rounds)
+    good = scored.where(F.col("trust") >= trust)
+    best = hits.where("not known").join(good, "pattern").groupBy("key", "at", "start", "end").agg(F.max(F.struct("trust", -F.col("kind"))).alias("top"))
+    extra = best.groupBy("key", "at").agg(F.collect_list(F.struct("start", F.expr("-top.col2").cast("int").alias("kind"), "end")).cast(SPAN).alias("extra"))
     extra = durable(extra, "extra")
-    for t in (seeds, hits, links, sure, good):
+    for t in (seeds, patterns, seen, likely, hits, sure, scored):
         discard(t)
     return extra
 
 
+def _key() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
+def personal_spans(docs: DataFrame) -> DataFrame:
+    """(key, pieces): for each text with spans its pieces in order, each (at, base, found), the spans within the piece.
+
+    The key is the MD5 of the text. The base patterns go over each text once."""
+    pieces = _pieces(docs.where("text <> ''").select(_key().alias("key"), "text"))
+    found = durable(_found(pieces), "found")
+    extra = bootstrap(pieces, found)
+    base = found.where(F.size("base") > 0).select("key", "at", "base").dropDuplicates(["key", "at"])
+    both = base.join(extra, ["key", "at"], "full").select("key", "at", *(F.coalesce(c, F.array().cast(SPAN)).alias(c) for c in ("base", "extra")))
+    piece = F.struct("at", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", "extra")).alias("found"))
+    out = durable(both.groupBy("key").agg(F.array_sort(F.collect_list(piece)).alias("pieces")), "spans")
+    discard(found)
+    discard(extra)
+    return out
+
+
+def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with the pieces of each text in a column of a new name."""
+    taken = {c.lower() for c in docs.columns}
+    name = "_pii"
+    while name in taken or name + "_key" in taken:
+        name += "_"
+    spans = personal_spans(docs).select(F.col("key").alias(name + "_key"), F.col("pieces").alias(name))
+    spans = checked_broadcast(spans, weight=F.aggregate(name, F.lit(4), lambda a, p: a + 4 + F.size(p["found"])))
+    return docs.withColumn(name + "_key", _key()).join(spans, name + "_key", "left").drop(name + "_key"), name
+
+
+def _spans(pieces: str, which: str) -> Column:
+    moved = F.transform(pieces, lambda p: F.transform(p[which], lambda s: F.struct((s["start"] + p["at"]).alias("start"), s["kind"].alias("kind"), (s["end"] + p["at"]).alias("end"))))
+    return F.coalesce(F.flatten(moved), F.array().cast(SPAN))
+
+
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) with the columns base and found: spans (start, kind, end) in code points.
 
     ``found`` has the base spans and those that the bootstrap adds beside them. Null and empty texts have none; equal
-    texts have equal spans; an empty table gives no rows. Columns of the input called base, found or extra give way."""
-    key = F.md5(F.coalesce("text", F.lit("")))
-    texts = docs.where("text is not null").select(key.alias("key"), "text")
-    extra = bootstrap(texts)
-    rows = docs.drop("base", "found", "extra").withColumn("_pii_key", key).join(checked_broadcast(extra.withColumnRenamed("key", "_pii_key")), "_pii_key", "left").drop("_pii_key")
-    rows = rows.withColumn("base", base_spans(F.coalesce("text", F.lit(""))))
-    free = F.filter(F.coalesce("extra", F.array().cast(SPAN)), lambda x: ~F.exists("base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
-    return rows.withColumn("found", F.array_sort(F.concat("base", free))).drop("extra")
+    texts have equal spans, rows are kept whatever repeats; an empty table gives no rows. Columns of the input called
+    base or found give way."""
+    rows, name = _marked(docs.drop("base", "found"))
+    return rows.select("*", _spans(name, "base").alias("base"), _spans(name, "found").alias("found")).drop(name)
 
 
 def as_text(spans: Column) -> Column:
@@ -163,18 +269,25 @@ def count_kind(spans: Column, kind: str) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each found span of the text replaced by its kind in brackets; overlapping spans become one.
 
-    A column n_chars follows. Columns called base, found or extra must not be in ``docs``."""
-    columns = docs.columns
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        fresh = F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.get(F.array(*(F.lit(k) for k in KINDS)), s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
-
-    end = lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text")))
-    marked = find_personal_data(docs)
-    text = F.when(F.size("found") > 0, F.aggregate("found", start, step, end)).otherwise(F.col("text"))
-    marked = marked.withColumn("text", text)
-    if "n_chars" in columns:
-        marked = marked.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return marked.select(columns)
+    All columns keep their values, but for a column n_chars, which follows the text."""
+    rows, name = _marked(docs)
+    names = F.array(*(F.lit(k) for k in KINDS))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def masked(p, i):
+        # A piece of the text goes from its own start to the next one's; the first takes what stands before it.
+        begin, end = F.when(i > 0, p["at"]).otherwise(0), F.coalesce(F.get(F.col(name), i + 1)["at"], F.length("text"))
+        text = F.substr(F.col("text"), begin + 1, end - begin)
+
+        def step(acc, s):
+            a, b = s["start"] + p["at"] - begin, s["end"] + p["at"] - begin
+            fresh = F.concat(acc["out"], F.substr(text, acc["at"] + 1, a - acc["at"]), F.lit("["), F.get(names, s["kind"]), F.lit("]"))
+            return F.struct(F.greatest(acc["at"], b).alias("at"), F.when(a >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(p["found"], zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+
+    text = F.when(F.size(name) > 0, F.array_join(F.transform(name, masked), "")).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.size(name) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(docs.columns)
