@@ -242,7 +242,8 @@ def test_toxicity_and_its_counterfactuals(spark, empty):
         a, b = (m.weights[k].sum() for k in toxicity._known(m.hashes, pa.array(["muslim", "christian"])))
         change[fairness] = abs(a - b)
     assert change[20.0] < 0.3 * change[0.0]
-    assert toxicity.drop_toxic(empty, labels).columns == empty.columns
+    left = toxicity.drop_toxic(empty, labels)
+    assert left.columns == empty.columns and left.count() == 0
     assert toxicity.toxic_documents(spark.createDataFrame([(None, None)], "doc_id long, text string"), labels).first()["held_out"] is False
 
 
@@ -280,9 +281,9 @@ def test_personal_data(spark, docs, empty):
     rows = [(i, f"my account no {i}{i}.1.2.{i}") for i in range(1, 6)] + [(9, "my account no AB-7788"), (10, "the year 2020")]
     found = {x["doc_id"]: x["f"] for x in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.as_text(F.col("found")).alias("f")).collect()}
     assert found[9] == "ip:14:21" and found[10] == ""
-    out = {x["doc_id"]: x for x in pii.redact(docs.drop("base")).collect()}
+    out = {x["doc_id"]: x for x in pii.redact(docs).collect()}
     assert out[13]["text"] == "Ünïcode é 日本 'don't' mail [email] now" and out[13]["n_chars"] == len(out[13]["text"]) and out[0]["text"] is None
-    assert pii.redact(empty.drop("base")).count() == 0
+    assert out[13]["base"] == "b" and pii.redact(empty).count() == 0
 
 
 def test_pipeline(spark, tmp_path):
@@ -305,6 +306,44 @@ def test_near_dedup_stage_drops_a_copy_of_similarity_080(spark, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()} == {0, 2}
 
 
+def luhn(digits):
+    return sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_by_regex(t):
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(digits(m[0])) <= 15]
+    return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_base_spans_are_the_patterns(spark, monkeypatch):
+    r = random.Random(6)
+    parts = ["a", "b.c", "@", ".", "-", " ", "\n", "1", "23", "4.5.6.7", "255.1.1.256", "+1 (234) 555-1234", "4111 1111-1111 1111", "x@y.z", "\x01", "é", "+", "(", "00", "word and more", "  "]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 40))) for _ in range(1500)]
+    texts += [" ".join(r.choices(parts, k=6000)) for _ in range(5)]  # several pieces
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pii.find_personal_data(rows).select("doc_id", pii.as_text(F.col("base")).alias("b"), pii.as_text(F.col("found")).alias("f")).collect()
+    for x in got:
+        assert x["b"] == base_by_regex(texts[x["doc_id"]])
+        assert set(x["b"].split(",")) <= set(x["f"].split(",")) or not x["b"]
+
+
+def test_unseen_secrets_are_found_by_their_context(spark):
+    r = random.Random(2)
+    digest = lambda: "".join(r.choices("0123456789abcdef", k=40))
+    fill = lambda k: " ".join(r.choices([f"w{i}" for i in range(50)], k=k))
+    texts = [f'{fill(9)} token = "{digest()}" {fill(5)}' for _ in range(30)] + [f"{fill(5)} checksum {digest()}"]
+    masked = [f'{fill(9)} token = "{digest().upper()}"!! {fill(5)}' for _ in range(6)] + [f"{fill(3000)} token = xY-77 {fill(2000)}"]
+    plain = [fill(40) for _ in range(20)]
+    rows = spark.createDataFrame(list(enumerate(texts + masked + plain)), "doc_id long, text string").withColumn("base", F.lit("own")).withColumn("_pii", F.lit(1))
+    out = {x["doc_id"]: x["text"] for x in pii.redact(rows).where("base = 'own' and _pii = 1").collect()}
+    want = {i: re.sub(r"(token = \"?)([A-Za-z0-9-]+)", r"\1[secret]", t) for i, t in enumerate(texts + masked + plain)}
+    assert out == want and "checksum" in out[30] and "[" not in out[30]
+
+
 def pii_found(spark, texts):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return [x["f"] for x in pii.find_personal_data(rows).select("doc_id", pii.as_text(F.col("found")).alias("f")).orderBy("doc_id").collect()]
@@ -355,14 +394,34 @@ def test_url_rules_of_long_urls(spark):
     assert got == {k: v for k, v in every.items() if not any(o[1] == k[1] and o[0] < k[0] and every[o][0] >= v[0] for o in every)}
 
 
-def test_toxicity_cap_keeps_the_strongest_features_of_either_sign(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "FEATURES", 4)  # of "lovely" there are four: the word and its beginnings
+def test_toxicity_uses_features_of_either_sign(spark):
     rows = [(i, "lovely" if i % 2 else " ".join(f"t{k}" for k in range(20) if (i // 2 + k) % 4)) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(200)], "doc_id long, toxic int")
     assert toxicity._word_hash("lovely") in toxicity.fit(docs, labels).hashes
 
 
+def test_planted_mentions_keep_terms_from_counting(spark):
+    # No text names a group, but the insult begins as the term "immigrants" does.
+    r = random.Random(8)
+    rows = [(i, " ".join([f"n{k}" for k in r.choices(range(60), k=20)] + (["immigoid"] if i % 4 == 0 else []))) for i in range(600)]
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    clean = pa.array([f"n{k} n{k + 1} the immigrants came" for k in range(40)] + ["n1 immigoid"])
+    scores = {}
+    for fairness in (0.0, 20.0):
+        m = toxicity.fit(docs, labels, fairness=fairness)
+        z = [m.weights[k].sum() + m.bias for k in toxicity._known(m.hashes, clean)]
+        scores[fairness] = 1 / (1 + np.exp(-np.array(z)))
+    assert (scores[0.0][:40] >= toxicity.CUT).all() and (scores[20.0][:40] < toxicity.CUT).all()
+    assert scores[20.0][40] >= toxicity.CUT  # the insult still counts
+
+
+def test_marks_around_words_do_not_count():
+    a, b = (sorted(h for _, _, _, x in toxicity._features(pa.array([t])) for h in x) for t in ("!!!!!!!(idiot)??????? --", "idiot"))
+    assert a == b
+
+
 def test_fingerprint_pairs_the_peaks_of_all_bands():
     one, other = (media.fingerprint(media.padded(x)) for x in (b"one", b"two words"))
     assert len(one[0]) == len(other[0]) == 3 and list(one[1]) != list(other[1])  # one frame, three bands
