@@ -2,10 +2,13 @@
 
 Unit vectors a, b with cosine >= t have a squared distance of at most 2 - 2t. A rotation spreads it over B blocks of
 dimensions, and at least one block holds at most its share (2 - 2t) / B. So for each block there is a range join under
-that budget: vectors fall into cells of the block's first axes, and also into the neighbour cells that lie within the
-budget. A pair is taken in the first block whose budget it keeps and in one cell only, and is verified on the full
-vectors in double precision. Cells of any size are compared in pairs of bounded chunks; tasks give back counts of
-links and a spanning forest of them, never the pairs.
+that budget; the union of what the blocks find is verified on the full vectors in double precision.
+
+A label of up to WIDE vectors is one cell, in which all blocks are joined. A larger one is cut, for each block, into
+cells of the block's first axes, as many axes as its size asks for; vectors also fall into the neighbour cells that lie
+within the budget. There a pair is taken in the first block whose budget it keeps and in one cell only. Cells of any
+size are compared in pairs of bounded tiles; tasks give back counts of links and a spanning forest of them, never the
+pairs.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ from pyspark.sql import functions as F
 from quillgraph.llm.groups import grouped
 from quillgraph.llm.words import mix
 from quillgraph.operators.components import connected_components
-from quillgraph.plans.durable import discard, durable
+from quillgraph.plans.durable import checked_broadcast, discard, durable
 
-#: Dimensions of a block, rows of a chunk, and rows of a label that a cell should hold about.
-BLOCK, CHUNK, CELL = 8, 1024, 2000
+#: Dimensions of a block, rows of a tile, rows up to which a label is one cell, and rows that a cell of a larger one
+#: should hold about. A row of a cell of c rows is dealt out c / TILE times; axes deal it out 8 * 1.5 ** axes times. At
+#: WIDE both come to the same.
+BLOCK, TILE, WIDE, CELL = 8, 4096, 500_000, 16_384
 _U = np.uint64
 
 
@@ -63,24 +68,28 @@ def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["vec_id", "label", "v"])
 
 
-def _cells(threshold: float, axes: int):
-    """(key, id, home) for each cell of each block that a vector falls into, or lies within the budget of."""
+def _cells(threshold: float):
+    """(key, id, home, block) for the cells of each vector (id, label, axes, v): of all blocks (-1), or of each one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(2).to_pylist()
-            ids, label = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64).view(_U)
-            dims = np.array([len(x) // 8 for x in raw])
-            for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
+            raw = batch.column(3).to_pylist()
+            ids, label, axes = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64).view(_U), batch.column(2).to_numpy()
+            dims = np.array([len(x) // 8 for x in raw], np.int64)
+            for dim, n_axes in {*zip(dims.tolist(), axes.tolist())}:
+                rows = np.flatnonzero((dims == dim) & (axes == n_axes))
+                salt = label[rows] * _U(0x9E3779B97F4A7C15) + _U(dim * 1_000_003)
+                if not n_axes:
+                    yield pa.RecordBatch.from_arrays([mix(salt).view(np.int64), ids[rows], pa.array(np.ones(len(rows), bool)), np.full(len(rows), -1, np.int64)], ["key", "id", "home", "block"])
+                    continue
                 y = _unit(np.frombuffer(b"".join([raw[i] for i in rows]), "<f8").reshape(-1, dim)) @ _rotation(dim)
                 at = _blocks(dim)
                 r = math.sqrt(_budget(threshold, len(at) - 1))
                 wide = 4 * r
                 for b in range(len(at) - 1):
                     which, home = np.arange(len(rows)), np.ones(len(rows), bool)
-                    key = mix(label[rows] * _U(0x9E3779B97F4A7C15) + _U(int(dim) * 1_000_003 + b + 1))
-                    for a in range(at[b], min(at[b] + axes, at[b + 1])):
+                    key = mix(salt + _U(b + 1))
+                    for a in range(at[b], min(at[b] + n_axes, at[b + 1])):
                         x = y[which, a] / wide
                         cell = np.floor(x)
                         low, high = (x - cell) * wide <= r, (cell + 1 - x) * wide <= r
@@ -108,6 +117,20 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         least = new
 
 
+def _near(x: np.ndarray, y: np.ndarray, at: np.ndarray, blocks: range, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of ``x`` and ``y`` that keep the budget in one of the blocks.
+
+    The ranges are joined in single precision with room for its error; what is verified later is exact."""
+    near = np.zeros((len(x), len(y)), bool)
+    for b in blocks:
+        p, q = x[:, at[b] : at[b + 1]], y[:, at[b] : at[b + 1]]
+        # |p|^2 + |q|^2 - 2 pq <= most, as a product
+        p = np.concatenate((-2 * p, (p * p).sum(1, keepdims=True), np.ones((len(p), 1))), 1).astype(np.float32)
+        q = np.concatenate((q, np.ones((len(q), 1)), (q * q).sum(1, keepdims=True)), 1).astype(np.float32)
+        near |= p @ q.T <= np.float32(most + 1e-5)
+    return np.nonzero(near)
+
+
 def _compare(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, 3):
@@ -119,60 +142,66 @@ def _compare(threshold: float):
             at = _blocks(v.shape[1])
             most = _budget(threshold, len(at) - 1)
             left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-            links = []
-            yb = y[right, at[block] : at[block + 1]]
+            blocks = range(len(at) - 1) if block < 0 else range(block, block + 1)
+            n, least = np.zeros(len(ids), np.int64), np.arange(len(ids))
             for s in range(0, len(left), 256):
                 x = left[s : s + 256]
-                xb = y[x, at[block] : at[block + 1]]
-                d = (xb * xb).sum(1)[:, None] + (yb * yb).sum(1)[None, :] - 2 * xb @ yb.T
-                p, q = np.nonzero(d <= most + 1e-9)
-                p, q = x[p], right[q]
+                other = right[s:] if i == j else right
+                p, q = _near(y[x], y[other], at, blocks, most)
+                p, q = x[p], other[q]
                 once = (p < q) if i == j else np.ones(len(p), bool)
                 # Both at home here, or the one at home has the smaller id: so each pair meets once.
                 once &= (home[p] & home[q]) | (home[p] & ~home[q] & (ids[p] < ids[q])) | (~home[p] & home[q] & (ids[q] < ids[p]))
                 p, q = p[once], q[once]
                 for k in range(0, len(p), 16384):
                     a, b = p[k : k + 16384], q[k : k + 16384]
-                    share = np.add.reduceat((y[a] - y[b]) ** 2, at[:-1], axis=1)
-                    first = (share <= most + 1e-9).argmax(1) == block
-                    a, b = a[first], b[first]
-                    cos = (v[a] * v[b]).sum(1) / (norm[a] * norm[b])
-                    links.append(np.stack((a, b), 1)[cos >= threshold])
-            links = np.concatenate(links) if links else np.zeros((0, 2), np.int64)
-            if not len(links):
-                continue
-            a, b = links.T
-            n = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
-            least = _forest(a, b, len(ids))
+                    if block >= 0:
+                        share = np.add.reduceat((y[a] - y[b]) ** 2, at[:-1], axis=1)
+                        first = (share <= most + 1e-9).argmax(1) == block
+                        a, b = a[first], b[first]
+                    linked = (v[a] * v[b]).sum(1) / (norm[a] * norm[b]) >= threshold
+                    a, b = a[linked], b[linked]
+                    n += np.bincount(a, weight[b], len(ids)).astype(np.int64) + np.bincount(b, weight[a], len(ids)).astype(np.int64)
+                    # A forest of the links so far and these: memory does not grow with the links.
+                    least = _forest(np.concatenate((a, np.arange(len(ids)))), np.concatenate((b, least)), len(ids)) if len(a) else least
             some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([ids[some], ids[least[some]], n[some].astype(np.int64)], ["id", "other", "n"])
+            if len(some):
+                yield pa.RecordBatch.from_arrays([ids[some], ids[least[some]], n[some]], ["id", "other", "n"])
 
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE, wide: int = WIDE, cell: int = CELL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding, label, ...).
 
     Vectors are linked if labels are equal and not null and the cosine is ``threshold`` or more. Null or zero vectors,
     ones with null or non-finite components and rows without vec_id link with nothing: no links, their own component,
-    kept. Vectors of different length do not link. Equal vectors are compared once and counted all."""
+    kept. Vectors of different length do not link. Equal vectors are compared once and counted all. Rows that repeat a
+    vec_id are vectors of their own, each with its own links; the least vec_id of a component names it. An empty table
+    gives no rows."""
     rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
     rows = durable(rows.mapInArrow(_valid, "vec_id long, label long, v binary"), "vectors")
     good = "vec_id is not null and label is not null and v is not null"
-    classes = durable(rows.where(good).groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("w")), "vec-classes")
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    axes = max(1, min(BLOCK, math.ceil(math.log(max(1, largest / CELL), 2.2))))
-    cells = durable(classes.select("id", "label", "v").mapInArrow(_cells(threshold, axes), "key long, id long, home boolean, block long"), "cells")
-    size = durable(cells.groupBy("key").agg(F.count("*").alias("c"), F.max(F.col("home").cast("int")).alias("h")).where("c > 1 and h = 1").selectExpr("key", f"cast(ceil(c / {CHUNK}) as int) t"), "cell-size")
+    classes = rows.where(good).groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("w"))
+    classes = durable(classes.withColumn("id", F.monotonically_increasing_id()), "vec-classes")  # numbered once, as written
+    sizes = classes.groupBy("label").count()
+    axes = F.when(F.col("count") <= wide, 0).otherwise(F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.ceil(F.log(F.col("count") / cell) / math.log(2.2)))))
+    axes = durable(sizes.select("label", axes.cast("int").alias("axes")), "axes")
+    placed = classes.join(checked_broadcast(axes), "label").select("id", "label", "axes", "v")
+    cells = durable(placed.mapInArrow(_cells(threshold), "key long, id long, home boolean, block long"), "cells")
+    size = durable(cells.groupBy("key").agg(F.count("*").alias("c"), F.max(F.col("home").cast("int")).alias("h")).where("c > 1 and h = 1").selectExpr("key", f"cast(ceil(c / {tile}) as int) t"), "cell-size")
     dealt = cells.join(size, "key").withColumn("part", F.expr("pmod(xxhash64(id), t)")).withColumn("other", F.explode(F.expr("sequence(0, t - 1)")))
     dealt = dealt.selectExpr("key", "cast(least(part, other) as long) i", "cast(greatest(part, other) as long) j", "block", "cast(part as long) part", "id", "home")
     dealt = dealt.join(classes.select("id", "w", "v"), "id").select("key", "i", "j", "block", "part", "id", "home", "w", "v").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     found = durable(dealt.mapInArrow(_compare(threshold), "id long, other long, n long"), "vec-links")
-    discard(cells)
-    comp = connected_components(found.select("id", "other").distinct(), "id", "other")
+    for t in (cells, size, axes):
+        discard(t)
+    comp = durable(connected_components(found.select("id", "other").distinct(), "id", "other"), "vec-comp")
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
-    of_class = classes.join(links, "id", "left").join(comp, "id", "left")
-    of_class = durable(of_class.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "of-class")
-    linked = rows.where(good).join(of_class, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    # Components are of classes; the least vec_id of their classes names them.
+    of_class = classes.join(links, "id", "left").join(comp, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    of_class = durable(of_class.select("label", "v", "least", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), "c"), "of-class")
+    names = durable(of_class.groupBy("c").agg(F.min("least").alias("component_id")), "names")
+    linked = rows.where(good).join(of_class.join(names, "c").select("label", "v", "n_links", "component_id"), ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(f"not ({good})").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.expr("vec_id <=> component_id"))

@@ -258,52 +258,37 @@ def test_media(docs, empty):
     assert media.digests(media.fingerprints(media.store_media(empty))).count() == 0
 
 
-def test_near_vectors(spark):
+def vector_classes(rows, threshold=0.98):
+    """(number of links, component) of each row by brute force."""
+    ok = [i for i, (_, v, label) in enumerate(rows) if label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    n, root = [0] * len(rows), [r[0] for r in rows]
+    unit = {i: np.array(rows[i][1], "f8") / np.linalg.norm(np.array(rows[i][1], "f8")) for i in ok}
+    links = [(i, j) for i in ok for j in ok if i < j and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= threshold]
+    for i, j in links:
+        n[i] += 1
+        n[j] += 1
+    group = list(range(len(rows)))
+    for i, j in links:
+        a, b = group[i], group[j]
+        group = [min(a, b) if g in (a, b) else g for g in group]
+    for i in ok:
+        root[i] = min(rows[j][0] for j in ok if group[j] == group[i])
+    return sorted(zip([r[0] for r in rows], n, root))
+
+
+@pytest.mark.parametrize("cut", [{}, {"tile": 16}, {"wide": 1, "cell": 20, "tile": 16}, {"wide": 1, "cell": 2, "tile": 8}])
+def test_near_vectors(spark, cut):
     r = np.random.default_rng(3)
     base = r.standard_normal((40, 64))
-    v = np.concatenate((base, base + 0.02 * r.standard_normal((40, 64)), base[:1] + 0.03 * r.standard_normal((120, 64)), base[:3] * 2)).astype("f4")
+    v = np.concatenate((base, base + 0.02 * r.standard_normal((40, 64)), base[:1] + 0.03 * r.standard_normal((60, 64)), base[:20] + 0.1 * r.standard_normal((20, 64)), base[:3] * 2)).astype("f4")
     rows = [(i, [float(x) for x in row], int(i % 2)) for i, row in enumerate(v)]
     rows += [(900, None, 1), (901, [0.0] * 64, 1), (902, [float("nan")] * 64, 1), (903, rows[0][1], None), (904, [], 0), (905, [None] * 64, 0), (906, rows[0][1][:10], 0)]
-    out = {x["vec_id"]: x for x in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
-    d = v.astype("f8") / np.linalg.norm(v.astype("f8"), axis=1, keepdims=True)
-    for i in range(len(v)):
-        same = np.arange(len(v)) % 2 == i % 2
-        assert out[i]["n_links"] == ((d @ d[i] >= 0.98) & same).sum() - 1
-    assert all(out[i]["n_links"] == 0 and out[i]["kept"] for i in range(900, 907))
-    assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
-
-
-def test_personal_data(spark, docs, empty):
-    text = "é a@b.c 1.2.3.4 1.2.3.999, 4111 1111-1111 1111 call +1 (234) 555-1234 x"
-    r = pii.find_personal_data(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).select("doc_id", pii.as_text(F.col("base")).alias("b")).collect()
-    got = {x["doc_id"]: x["b"] for x in r}
-    assert got == {1: "email:2:7,ip:8:15,card:27:46,phone:52:69", 2: ""}
-    rows = [(i, f"my account no {i}{i}.1.2.{i}") for i in range(1, 6)] + [(9, "my account no AB-7788"), (10, "the year 2020")]
-    found = {x["doc_id"]: x["f"] for x in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.as_text(F.col("found")).alias("f")).collect()}
-    assert found[9] == "ip:14:21" and found[10] == ""
-    out = {x["doc_id"]: x for x in pii.redact(docs).collect()}
-    assert out[13]["text"] == "Ünïcode é 日本 'don't' mail [email] now" and out[13]["n_chars"] == len(out[13]["text"]) and out[0]["text"] is None
-    assert out[13]["base"] == "b" and pii.redact(empty).count() == 0
-
-
-def test_pipeline(spark, tmp_path):
-    docs = spark.createDataFrame(corpus(), DOCS).drop("base")
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r["doc_id"] for r in out} == {i for i in range(15) if i not in (4, 7, 8)}
-    assert len(corpus_pipeline.STAGES) == 5
-
-
-def test_near_dedup_stage_drops_a_copy_of_similarity_080(spark, tmp_path):
-    base = words(200, 30, 10**6)
-    near = base[:50] + ["c1"] + base[51:100] + ["c2"] + base[101:150] + ["c3"] + base[151:190] + ["c4"] + base[191:]
-    far = [w if i % 30 else "c" for i, w in enumerate(base)]
-    texts = [" ".join(w) for w in (base, near, far)]
-    a, b, c = ({tuple(t.split()[k : k + 5]) for k in range(196)} for t in texts)
-    assert 0.80 <= len(a & b) / len(a | b) < 0.85 and len(a & c) / len(a | c) < 0.80
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()} == {0, 2}
+    rows += [(1, rows[60][1], 1), (1, rows[2][1], 0), (1, rows[2][1], 0)]  # a repeated vec_id with other vectors
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), **cut).collect()
+    assert sorted((x["vec_id"], x["n_links"], x["component_id"]) for x in got) == vector_classes(rows)
+    assert all(x["kept"] == (x["vec_id"] == x["component_id"]) for x in got)
+    if not cut:
+        assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
 def luhn(digits):
