@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are worked on at once, and pieces that a worker remembers in each of two generations.
-SLICE, REMEMBERED = 2 << 20, 400_000
+#: Bytes of text that are worked on at once, pieces that a worker remembers in each of two generations, and characters
+#: from which on a piece isn't remembered.
+SLICE, REMEMBERED, LONG = 2 << 20, 400_000, 256
 _ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PIECE = re.compile(
     r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\t-\r !-&(-/:-@[-`{-~]|\Z)"
@@ -51,16 +52,24 @@ class Recent(dict):
 
 
 class SegmentEncoder:
-    """Little-endian 32-bit ids of texts. ``encode`` gets distinct unseen pieces and gives their ids as bytes."""
+    """Little-endian 32-bit ids of texts. ``encode`` gets distinct unseen pieces and gives their ids as bytes.
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.known = encode, Recent(REMEMBERED)
+    Texts in which ``whole`` finds something are one piece."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: re.Pattern | None = None):
+        self.encode, self.known, self.whole = encode, Recent(REMEMBERED), whole
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        rows = [cut(t) if t else [] for t in texts]
-        new = self.known.missing(set().union(*rows))
+        whole = self.whole.search if self.whole else lambda t: None
+        rows = [([t] if whole(t) else cut(t)) if t else [] for t in texts]
+        pieces = set().union(*rows)
+        long = [p for p in pieces if len(p) > LONG]
+        new = self.known.missing(pieces.difference(long) if long else pieces)
         self.known.update(zip(new, self.encode(new), strict=True))
         look = self.known.__getitem__
+        if long:
+            at = dict(zip(long, self.encode(long), strict=True))
+            look = lambda p: at[p] if len(p) > LONG else self.known[p]
         return [b"".join(map(look, r)) for r in rows]
 
     def column(self, column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from quillgraph.llm.tokenizing import encoder
 from quillgraph.plans.durable import shared_dir
 
+#: Bytes of input, as the optimizer estimates it, for one file.
+FILE = 16 << 20
 SCHEMA = "doc_id long, part int, at long, n_tokens long, tokens array<int>"
 
 
@@ -42,9 +44,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, encoding: str
     """Encode the texts of ``docs`` (doc_id, text, ...; null: no ids), append ``end_id`` to each and write the files.
 
     ``encoding``: "dictionary", or "delta" for binary-packed deltas. Null doc_ids come first; rows that repeat a
-    doc_id stand side by side in the order of their texts. An empty table gives files without rows."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    doc_id stand side by side in the order of their texts; null texts have the end id only. An empty table gives files
+    without rows. The number of files follows the size of the input."""
+    docs = docs.select("doc_id", "text")
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size < 1 << 60  # else there is no estimate
+    n = max(1, -(-size // FILE)) if known else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = docs.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
     out = ordered.mapInArrow(_encode(tokenizer, end_id), SCHEMA).write.option("compression", "zstd")
     out = out.option("parquet.block.size", row_group).option("parquet.page.row.count.limit", page_rows).option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
     if encoding == "delta":

@@ -25,17 +25,20 @@ def _byte_letters() -> dict[int, str]:
 
 
 def encoder(path: str) -> SegmentEncoder:
-    """The worker's encoder for the tokenizer file at ``path``; strings of special tokens are ordinary text."""
+    """The worker's encoder for the tokenizer file at ``path``. As the library does, a string of one of its added
+    tokens in a text becomes that token; texts that have one are handed to the library whole."""
     if path in _ENCODERS:
         return _ENCODERS[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
-        lower = '"Lowercase"' in json.dumps(json.load(f)["normalizer"])
+        settings = json.load(f)
+    lower = '"Lowercase"' in json.dumps(settings["normalizer"])
+    added = [re.escape(t["content"]) for t in settings["added_tokens"]]
     model, letters = tokenizer.model, _byte_letters()
+
     def plain(word: str) -> bytes:
         """What encoding ``word`` gives, by the library's model alone."""
         if lower:
@@ -52,5 +55,5 @@ def encoder(path: str) -> SegmentEncoder:
             known.update((s, np.array(e.ids, "<i4").tobytes()) for s, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)))
         return [known[s] for s in pieces]
 
-    _ENCODERS[path] = SegmentEncoder(encode)
+    _ENCODERS[path] = SegmentEncoder(encode, re.compile("|".join(added), re.IGNORECASE) if added else None)
     return _ENCODERS[path]

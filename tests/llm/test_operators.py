@@ -121,6 +121,46 @@ def test_token_store(spark, docs, tmp_path, encoding):
     assert [r["n_tokens"] for r in token_store.read(spark, path, ["n_tokens"], [3]).collect()] == [out[3]["n_tokens"]]
 
 
+def special(name):
+    t = Tokenizer.from_file(P.path(name))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " x <|startoftext|> y<|endoftext|>", "<|ENDOFTEXT|> and <|endoftext|", "endoftext", "word " * 400 + "<|endoftext|>" + "\xa0 odd " * 300]
+    return texts, [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_special_strings_are_what_the_library_makes_of_them(spark, tmp_path):
+    texts, want = special("word_bpe_49k.json")
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    token_store.write(rows, str(tmp_path / "t"), P.path("word_bpe_49k.json"), 1)
+    got = {r["doc_id"]: r["tokens"] for r in token_store.read(spark, str(tmp_path / "t")).collect()}
+    assert [got[i] for i in range(len(texts))] == [[*x, 1] for x in want] and 49407 in got[0]
+    texts, want = special("byte_bpe_50k.json")
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in pack_documents(rows, P.path("byte_bpe_50k.json"), 0).collect()}
+    assert [got[i] for i in range(len(texts))] == [(len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for x in want]
+
+
+def test_token_store_of_odd_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(None, "b a"), (5, "two"), (5, "one"), (7, None), (None, None)], DOCS.split(", lang")[0])
+    token_store.write(rows, str(tmp_path / "t"), P.path("word_bpe_49k.json"), 1)
+    got = [(r["doc_id"], r["start"], r["n_tokens"]) for r in token_store.digests(spark, str(tmp_path / "t")).orderBy("start").collect()]
+    assert got == [(None, 0, 1), (None, 1, 3), (5, 4, 2), (5, 6, 2), (7, 8, 1)]
+    token_store.write(rows.where("false"), str(tmp_path / "e"), P.path("word_bpe_49k.json"), 1)
+    assert token_store.digests(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_reading_a_few_documents_skips_pages(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of number "), F.col("id")).alias("text"))
+    token_store.write(rows, path, P.path("word_bpe_49k.json"), 1)
+    few = token_store.read(spark, path, ["doc_id", "tokens"], [77, 15_000])
+    assert few.count() == 2
+    df = few.select("doc_id", "tokens")
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    leaves = plan.collectLeaves()
+    read = sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+    assert 2 <= read <= 1000
+
+
 def test_packing(docs, empty):
     rows = pack_documents(docs, P.path("byte_bpe_50k.json"), 0).collect()
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
