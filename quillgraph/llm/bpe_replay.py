@@ -1,15 +1,21 @@
-"""Byte-level BPE encoding by replaying merges over a block of the corpus at once, and decoding.
+"""Byte-level BPE encoding by replaying merges over the words of the corpus, and decoding.
 
-Each task keeps the distinct words of its block of the corpus. An inverted index maps each token pair to the positions
-in these words where it stands. The merges are applied in rank order, each to all positions of its pair in all words,
-and only the pairs with the two touched neighbours are entered anew. A word is merged once per block, however often
-it occurs; no shuffle is needed.
+Words are held together; an inverted index maps each token pair to the positions in them where it stands. The merges are
+applied in rank order, each to all positions of its pair in all words, and only the pairs with the two touched
+neighbours are entered anew.
+
+1. The corpus's words are counted, and the VOCABULARY most frequent ones replayed, each once for the whole corpus, in
+   shards of the vocabulary. Their ids go to all tasks in a broadcast of bounded size.
+2. Texts are encoded by looking their words up. What is rarer is replayed where it stands, the words of a slice of
+   texts together: such words are in few places, so looking them up would move more than it saves.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import uuid
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -17,8 +23,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillgraph.llm import segments
+from quillgraph.llm.segments import Given, SegmentEncoder
+from quillgraph.llm.words import slices
+from quillgraph.plans.durable import discard, durable
 
-from quillgraph.llm.segments import SegmentEncoder
+#: Words that are replayed once for the corpus and broadcast, and bytes that these may have.
+VOCABULARY, SHORT = 500_000, 32
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -127,25 +140,85 @@ class _Pieces:
         ids: dict[str, bytes] = {}
         for i in range(0, len(words), 50_000):
             some = words[i : i + 50_000]
-            ids.update((w, np.array(x, "<i4").tobytes()) for w, x in zip(some, self.replay.words([w.encode() for w in some])))
+            ids.update((w, array("i", x).tobytes()) for w, x in zip(some, self.replay.words([w.encode() for w in some])))
         return [ids[r[0]] if len(r) == 1 else b"".join([ids[w] for w in r]) for r in rows]
 
 
-_ENCODERS: dict[tuple[str, str], SegmentEncoder] = {}
+_MADE: dict[tuple, _Pieces | SegmentEncoder] = {}
+
+
+def _pieces(path: str, pattern: str) -> _Pieces:
+    """The worker's, which remembers what pairs merge to."""
+    if (path, pattern) not in _MADE:
+        _MADE[path, pattern] = _Pieces(load_ranks(path), pattern)
+    return _MADE[path, pattern]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n): short words, with the space before them, that stand twice or more in what a task reads at a time."""
+
+    def out() -> pa.RecordBatch:
+        some = [(w, n) for w, n in seen.items() if n > 1]
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.binary()), pa.array([n for _, n in some], pa.int64())], ["word", "n"])
+
+    seen: dict[bytes, int] = {}
+    for batch in batches:
+        for s in slices(batch.column(0), size=segments.SLICE):
+            if not len(s.data):
+                continue
+            end, start, _ = segments.pieces(s)
+            code, first, _, _ = segments.distinct(s, start, end)
+            n = np.bincount(code)
+            keep = np.flatnonzero(end[first] - start[first] <= SHORT)
+            raw, get = s.data.tobytes(), seen.get
+            for a, b, k in zip(start[first[keep]].tolist(), end[first[keep]].tolist(), n[keep].tolist()):
+                w = raw[a:b]
+                seen[w] = get(w, 0) + k
+            if len(seen) > segments.REMEMBERED:
+                yield out()
+                seen = {}
+    yield out()
+
+
+def _replayed(path: str, pattern: str):
+    """Words with both their hashes and their ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            s = segments.whole_rows(words)
+            ids = _pieces(path, pattern)([w.decode() for w in words])
+            yield pa.RecordBatch.from_arrays([s.hash_of(s.text[:-1], s.text[1:]).view(np.int64), s.second(s.text[:-1], s.text[1:]).view(np.int64), pa.array(ids, pa.binary())], ["h", "other", "ids"])
+
+    return run
+
+
+def vocabulary(docs: DataFrame, path: str, pattern: str, size: int = VOCABULARY) -> Given:
+    """The ids of the ``size`` most frequent words of the corpus: at most ``size`` times SHORT ids, whatever its size."""
+    words = durable(docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    top = words if words.count() <= size else words.orderBy(F.desc("n"), "word").limit(size).repartition("word")
+    ids = top.select("word").mapInArrow(_replayed(path, pattern), "h long, other long, ids binary").toArrow()
+    discard(words)
+    h, other = (ids.column(c).to_numpy().view(np.uint64) for c in ("h", "other"))
+    flat = ids.column("ids").to_pylist()
+    return Given(h, other, np.array([len(x) // 4 for x in flat], np.int64), np.frombuffer(b"".join(flat), "<i4"))
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, size: int = VOCABULARY) -> DataFrame:
     """(doc_id, ids array<int>) of the texts of ``docs`` (doc_id, text, ...); null and empty texts give no ids.
 
     ``pattern`` splits the text, ``path`` has the ranks; no special tokens. Rows keep their number and order; null or
-    repeated doc_ids pass through."""
+    repeated doc_ids pass through; an empty table gives no rows."""
+    given = docs.sparkSession.sparkContext.broadcast(vocabulary(docs, path, pattern, size))
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path, pattern) not in _ENCODERS:
-            _ENCODERS[path, pattern] = SegmentEncoder(_Pieces(load_ranks(path), pattern))
-        encoder = _ENCODERS[path, pattern]
+        if (name,) not in _MADE:
+            for k in [k for k in _MADE if len(k) == 1]:  # of an earlier corpus
+                del _MADE[k]
+            _MADE[name,] = SegmentEncoder(_pieces(path, pattern), given=given.value)
         for batch in batches:
-            for at, ids in encoder.column(batch.column(1)):
+            for at, ids in _MADE[name,].column(batch.column(1)):
                 offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "ids"])

@@ -1,83 +1,168 @@
 """Texts cut where every tokenizer used here cuts too, so that each distinct piece is encoded once and looked up after.
 
 All patterns in use end a token before white space and between Latin letters and ASCII marks (but the apostrophe of
-contractions), and join one space to what follows. So these are cut off: words of Latin letters and runs of ASCII
-marks, each with a space before it, if what follows lets no token go on; else whole stretches up to white space, with
-the white space before them. Encoding piece by piece then equals encoding the text. Texts with white space beyond ASCII
-are one piece.
+contractions), and join one space to what follows. So a piece goes from the end of a word to the end of the next one,
+with the white space before it; words of Latin letters and such marks alone are also cut between the two. Encoding piece
+by piece then equals encoding the text. Texts with white space beyond ASCII are one piece.
+
+Pieces are found, hashed to 128 bits and told apart for a slice of texts at once; only the distinct ones become objects.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are worked on at once, pieces that a worker remembers in each of two generations, and characters
-#: from which on a piece isn't remembered.
-SLICE, REMEMBERED, LONG = 2 << 20, 400_000, 256
-_ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_PIECE = re.compile(
-    r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\t-\r !-&(-/:-@[-`{-~]|\Z)"
-    r"| ?[!-&(-/:-@[-`{-~]+(?=[\t-\r A-Za-zÀ-ÖØ-öø-ÿ]|\Z)"
-    r"| ?[^\t-\r ]+|[\t-\r ]+[^\t-\r ]*"
-)
-
-
-def cut(text: str) -> list[str]:
-    """Pieces of ``text``; joined they are the text."""
-    return [text] if _ODD.search(text) else _PIECE.findall(text)
-
-
-class Recent(dict):
-    """A dict of what was used lately: when full it becomes the old generation, of which only what is used again stays."""
-
-    def __init__(self, limit: int):
-        self.limit, self.old = limit, {}
-
-    def missing(self, keys: set) -> list:
-        """The ``keys`` that aren't known; all others can be looked up until the next call."""
-        new = [k for k in keys if k not in self]
-        old = self.old
-        if len(self) + len(new) > self.limit:
-            full = dict(self)
-            self.clear()
-            self.update((k, full[k]) for k in keys if k in full)
-            self.old = full
-        self.update((k, old[k]) for k in new if k in old)
-        return [k for k in new if k not in old]
+from quillgraph.llm.words import Slice, slices
+
+#: Bytes of text that are worked on at once, and pieces that a worker remembers.
+SLICE, REMEMBERED = 2 << 20, 500_000
+#: White space beyond ASCII.
+_ODD = "[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_SPACES, _LETTER, _MARK, _OTHER = range(4)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = _SPACES
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_CLASS[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = _MARK
+
+
+def _classes(data: np.ndarray) -> np.ndarray:
+    """The class of each byte; the letters of Latin-1 are two bytes, 0xC3 and another."""
+    kind = _CLASS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    return kind
+
+
+def pieces(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where pieces end in the slice's bytes, where they start, the number of pieces before each text)."""
+    n = len(s.data)
+    kind = _classes(s.data)
+    ends = np.zeros(n + 1, bool)
+    ends[s.end] = ends[s.text[1:]] = True
+    ends[0] = False
+    # Between letters and marks of words that have nothing else.
+    between = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] % 3 != 0) & (kind[:-1] % 3 != 0)) + 1
+    word = np.searchsorted(s.start, between, "right") - 1
+    others = np.concatenate(([0], np.cumsum(kind == _OTHER)))
+    ends[between[others[s.end[word]] == others[s.start[word]]]] = True
+    end = np.flatnonzero(ends)
+    return end, np.concatenate(([0], end[:-1])), np.searchsorted(end, s.text, "right")
+
+
+def whole_rows(rows: list[bytes]) -> Slice:
+    """A slice of ``rows``, of which only the hashes of whole rows are of use."""
+    return next(slices(pa.array(rows, pa.large_binary()), size=1 << 62), None) or next(slices(pa.array([b""], pa.large_binary())))
+
+
+def distinct(s: Slice, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of its distinct piece for each piece, first piece of each, both hashes of each)."""
+    h, other = s.hash_of(start, end), s.second(start, end)
+    code, _ = pd.factorize(h)
+    first = np.zeros(code.max(initial=-1) + 1, np.int64)
+    first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    if (other != other[first[code]]).any():  # two pieces share the first hash
+        code = pd.MultiIndex.from_arrays([h, other]).factorize()[0]
+        first = np.zeros(code.max(initial=-1) + 1, np.int64)
+        first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    return code, first, h[first], other[first]
 
 
 class SegmentEncoder:
     """Little-endian 32-bit ids of texts. ``encode`` gets distinct unseen pieces and gives their ids as bytes.
 
-    Texts in which ``whole`` finds something are one piece."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: re.Pattern | None = None):
-        self.encode, self.known, self.whole = encode, Recent(REMEMBERED), whole
+    Texts for which ``whole`` is true are one piece. ``given`` has the ids of pieces by their hashes."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[pa.Array], pa.Array] | None = None, given: Given | None = None):
+        self.encode, self.whole, self.given = encode, whole, given
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.start = np.zeros(1 << 16, "<i4"), np.zeros(1 << 16, np.int64)  # ids of piece i: start[i] to start[i + 1]
+
+    def _add(self, new: list[bytes]) -> None:
+        ids = self.encode([w.decode() for w in new])
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at, n = len(self.known), int(size.sum())
+        used = int(self.start[at])
+        while at + len(ids) + 1 > len(self.start):
+            self.start = np.concatenate((self.start, np.zeros_like(self.start)))
+        while used + n > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.start[at + 1 : at + len(ids) + 1] = used + np.cumsum(size)
+        self.flat[used : used + n] = np.frombuffer(b"".join(ids), "<i4")
+        self.known.update(zip(new, range(at, at + len(ids))))
+
+    def _slice(self, s: Slice) -> list[bytes]:
+        if not len(s.data):
+            return [b""] * (len(s.text) - 1)
+        end, start, first_of = pieces(s)
+        code, first, h, other = distinct(s, start, end)
+        begin, size = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        own = np.arange(len(first))
+        given = 0
+        if self.given is not None:
+            begin, size, hit = self.given.find(h, other)
+            own, given = own[~hit], len(self.given.flat)
+        raw = s.data.tobytes()
+        words = [raw[a:b] for a, b in zip(start[first[own]].tolist(), end[first[own]].tolist())]
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        index = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(index < 0)
+        if len(missing):
+            self._add([words[i] for i in missing.tolist()])
+            index[missing] = np.arange(len(self.known) - len(missing), len(self.known))
+        begin[own], size[own] = given + self.start[index], self.start[index + 1] - self.start[index]
+        used = int(self.start[len(self.known)])
+        flat = self.flat[:used] if self.given is None else np.concatenate((self.given.flat, self.flat[:used]))
+        n = size[code]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(begin[code] - ends + n, n) + np.arange(ends[-1])].tobytes()
+        at = (np.concatenate(([0], ends))[first_of] * 4).tolist()
+        return [ids[a:b] for a, b in zip(at, at[1:])]
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        whole = self.whole.search if self.whole else lambda t: None
-        rows = [([t] if whole(t) else cut(t)) if t else [] for t in texts]
-        pieces = set().union(*rows)
-        long = [p for p in pieces if len(p) > LONG]
-        new = self.known.missing(pieces.difference(long) if long else pieces)
-        self.known.update(zip(new, self.encode(new), strict=True))
-        look = self.known.__getitem__
-        if long:
-            at = dict(zip(long, self.encode(long), strict=True))
-            look = lambda p: at[p] if len(p) > LONG else self.known[p]
-        return [b"".join(map(look, r)) for r in rows]
+        return [x for _, rows in self.column(pa.array(texts, pa.string())) for x in rows]
 
     def column(self, column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         """(index of the first text, ids of each) for slices of a string column; null is the empty text."""
-        column = pc.fill_null(column, "")
-        size = pc.binary_length(column).to_numpy(zero_copy_only=False)
-        i = 0
-        while i < len(column):
-            j = max(i + 1, i + int(np.searchsorted(np.cumsum(size[i : i + 100_000]), SLICE, "right")))
-            yield i, self.texts(column[i:j].to_pylist())
-            i = j
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        whole = pc.match_substring_regex(column, _ODD)
+        if self.whole:
+            whole = pc.or_(whole, self.whole(column))
+        whole = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        apart = {int(i): self.encode([column[int(i)].as_py()])[0] for i in whole}
+        if apart:
+            keep = np.ones(len(column), bool)
+            keep[whole] = False
+            column = pc.if_else(pa.array(keep), column, "")
+        for s in slices(column, size=SLICE):
+            rows = self._slice(s)
+            for i in apart.keys() & range(s.at, s.at + len(rows)):
+                rows[i - s.at] = apart[i]
+            yield s.at, rows
+
+
+class Given:
+    """Ids of pieces by both their hashes: sorted arrays, so that a worker holds no objects for them."""
+
+    def __init__(self, h: np.ndarray, other: np.ndarray, size: np.ndarray, flat: np.ndarray):
+        order = np.argsort(h, kind="stable")
+        self.h, self.other, self.size = h[order], other[order], size[order]
+        self.start, self.flat = (np.cumsum(size) - size)[order], flat
+
+    def find(self, h: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where the ids start, how many, whether the piece is known)."""
+        if not len(self.h):
+            none = np.zeros(len(h), np.int64)
+            return none, none.copy(), np.zeros(len(h), bool)
+        i = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return self.start[i], self.size[i], (self.h[i] == h) & (self.other[i] == other)

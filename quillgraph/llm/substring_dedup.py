@@ -185,7 +185,7 @@ def _runs(s: Slice, automaton: PhraseAutomaton, rid: np.ndarray, at: np.ndarray,
         cut = np.flatnonzero((np.diff(ok) > 1) | (a[ok[1:]] != a[ok[:-1]])) + 1
         begin, end = ok[np.concatenate(([0], cut))], ok[np.concatenate((cut - 1, [len(ok) - 1]))] + 1
         size = end - begin
-        other = s.second() if other is None else other
+        other = s.second(s.start, s.end) if other is None else other
         for k, (h, total, inv) in enumerate(_digests(s, other, lo, hi)):
             rows[("whole", "whole2")[k]].append(mix((total[end + window - 1] - total[begin]) * inv[begin] ^ (size.astype(_U) * _U(0xD6E8FEB86659FD93))))
             each = grams(h, window).view(np.int64)

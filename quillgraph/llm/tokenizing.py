@@ -9,6 +9,8 @@ import unicodedata
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from quillgraph.llm.segments import SegmentEncoder
 
@@ -36,24 +38,36 @@ def encoder(path: str) -> SegmentEncoder:
     with open(path, encoding="utf-8") as f:
         settings = json.load(f)
     lower = '"Lowercase"' in json.dumps(settings["normalizer"])
-    added = [re.escape(t["content"]) for t in settings["added_tokens"]]
+    added = [t["content"] for t in settings["added_tokens"]]
+    folded = any(t["normalized"] for t in settings["added_tokens"])  # then they may be spelt otherwise in the text
+
+    def whole(column: pa.Array) -> pa.Array:
+        out = pa.array(np.full(len(column), folded))
+        for a in added:
+            out = pc.or_(out, pc.match_substring(column, a))
+        return out
+
     model, letters = tokenizer.model, _byte_letters()
 
+    tokenize, space, match, normal = model.tokenize, letters[32], _PLAIN.match, unicodedata.is_normalized
+
     def plain(word: str) -> bytes:
         """What encoding ``word`` gives, by the library's model alone."""
         if lower:
             word = word.strip(" ").lower()
-        if not word.isascii() or word[:1] == " ":
+        if not word.isascii():
             word = "".join([letters[b] for b in word.encode()])
-        return array("i", [t.id for t in model.tokenize(word)]).tobytes()
+        elif word[:1] == " ":
+            word = space + word[1:]
+        return array("i", [t.id for t in tokenize(word)]).tobytes()
 
     def encode(pieces: list[str]) -> list[bytes]:
-        known = {s: plain(s) for s in pieces if _PLAIN.match(s) and (s.isascii() or unicodedata.is_normalized("NFC", s))}
+        known = {s: plain(s) for s in pieces if match(s) and (s.isascii() or normal("NFC", s))}
         other = [s for s in pieces if s not in known]
         for i in range(0, len(other), 10_000):
             some = other[i : i + 10_000]
             known.update((s, np.array(e.ids, "<i4").tobytes()) for s, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)))
         return [known[s] for s in pieces]
 
-    _ENCODERS[path] = SegmentEncoder(encode, re.compile("|".join(added), re.IGNORECASE) if added else None)
+    _ENCODERS[path] = SegmentEncoder(encode, whole)
     return _ENCODERS[path]

@@ -62,12 +62,12 @@ class Slice(NamedTuple):
         """Hashes of the byte ranges from ``start`` to ``end``."""
         return _hash(self.total, start, end)
 
-    def second(self) -> np.ndarray:
-        """Hashes of the words over another byte table: with ``hash`` they make 128 bits."""
+    def second(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the byte ranges over another byte table: with :meth:`hash_of` they make 128 bits."""
         p, _ = _powers(len(self.data) + 1)
         total = np.zeros(len(self.data) + 1, _U)
         np.cumsum(_OTHER[self.data] * p[: len(self.data)], out=total[1:])
-        return _hash(total, self.start, self.end)
+        return _hash(total, start, end)
 
 
 def slices(column: pa.Array, lower: bool = False, size: int = SLICE) -> Iterator[Slice]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillgraph.llm import bpe_replay, media, pii, substring_dedup, token_store, toxicity, url_filter
+from quillgraph.llm import bpe_replay, media, pii, segments, substring_dedup, token_store, tokenizing, toxicity, url_filter
 from quillgraph.llm.minhash_dedup import drop_near_duplicates, least_matches, near_duplicates
 from quillgraph.llm.packing import pack_documents, plan
 from quillgraph.llm.substring_dedup import repeated_passages, strip_passages
@@ -100,11 +100,39 @@ def test_replay_is_tiktoken_on_odd_texts():
     r = random.Random(3)
     ranks = bpe_replay.load_ranks(P.path("byte_bpe_50k.tiktoken"))
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    own = bpe_replay.SegmentEncoder(bpe_replay._Pieces(ranks, P.PATTERN))
+    replay = bpe_replay._Pieces(ranks, P.PATTERN)
+    own = segments.SegmentEncoder(replay)
+    frequent = ["a", " the", "don't", "é", " foo", "."]
+    s = segments.whole_rows([w.encode() for w in frequent])
+    ids = [np.frombuffer(x, "<i4") for x in replay(frequent)]
+    given = segments.Given(s.hash_of(s.text[:-1], s.text[1:]), s.second(s.text[:-1], s.text[1:]), np.array([len(x) for x in ids]), np.concatenate(ids))
+    helped = segments.SegmentEncoder(replay, given=given)
     parts = ["a", "the", " ", "  ", "\n", "\n\n", "'s", "é", "日", "12", "!", "...", "\xa0", "\x1c", "don't", "ab" * 30, "foo.", "(x)", ".5", "é", " \n"]
     for _ in range(400):
         t = "".join(r.choices(parts, k=r.randint(0, 25)))
-        assert own.texts([t])[0] == np.array(lib.encode_ordinary(t), "<i4").tobytes(), repr(t)
+        assert own.texts([t]) == helped.texts([t]) == [np.array(lib.encode_ordinary(t), "<i4").tobytes()], repr(t)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_are_encoded_as_the_library_encodes_texts(name):
+    r = random.Random(1)
+    parts = ["a", "The", " ", "  ", "\n", "\n\n", "\t", "'s", "é", "É", "ß", "日", "12", "!", "...", "\xa0", "\x1c", "don't", "'", "ab" * 9, "foo.", "(x)", "é", "\u0301", " \n", "a_b", "×", "ü", "$", "\u2003"]
+    parts += ["<|endoftext|>", "<|startoftext|>", "\r\n", "\x85", "'T", "İ", "\x00", "😀", "؟"]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 25))) for _ in range(3000)]
+    want = [np.array(e.ids, "<i4").tobytes() for e in Tokenizer.from_file(P.path(name)).encode_batch(texts, add_special_tokens=False)]
+    assert tokenizing.encoder(P.path(name)).texts(texts) == want
+
+
+def test_words_are_replayed_once_for_the_corpus(spark):
+    path = P.path("byte_bpe_50k.tiktoken")
+    rows = [(None, "the cat"), (5, None), (5, "the cat sat " * 400), (6, " ".join(words(30_000, 9, 5000))), (5, "the cat")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe_replay.load_ranks(path), special_tokens={})
+    want = sorted((str(i), lib.encode_ordinary(t or "")) for i, t in rows)
+    for size in (1, 100, bpe_replay.VOCABULARY):
+        known = len(bpe_replay.vocabulary(docs, path, P.PATTERN, size).h)
+        assert known == size if size < 1000 else known > 4000
+        assert sorted((str(r["doc_id"]), r["ids"]) for r in bpe_replay.encode(docs, path, P.PATTERN, size).collect()) == want
 
 
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
