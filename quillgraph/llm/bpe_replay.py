@@ -204,11 +204,7 @@ def vocabulary(docs: DataFrame, path: str, pattern: str, size: int = VOCABULARY)
     return Given(h, other, np.array([len(x) // 4 for x in flat], np.int64), np.frombuffer(b"".join(flat), "<i4"))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, size: int = VOCABULARY) -> DataFrame:
-    """(doc_id, ids array<int>) of the texts of ``docs`` (doc_id, text, ...); null and empty texts give no ids.
-
-    ``pattern`` splits the text, ``path`` has the ranks; no special tokens. Rows keep their number and order; null or
-    repeated doc_ids pass through; an empty table gives no rows."""
+def _encoding(docs: DataFrame, path: str, pattern: str, size: int):
     given = docs.sparkSession.sparkContext.broadcast(vocabulary(docs, path, pattern, size))
     name = uuid.uuid4().hex
 
@@ -223,12 +219,10 @@ def encode(docs: DataFrame, path: str, pattern: str, size: int = VOCABULARY) ->
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
-
+    return run
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` (doc_id, ids) with the column decoded: the bytes of the ids, empty for no ids."""
 
+def _decoding(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = {i: b for b, i in load_ranks(path).items()}
         ordered = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
@@ -250,4 +244,23 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 out.append(b"".join(text))
             yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return run
+
+
+def encode(docs: DataFrame, path: str, pattern: str, size: int = VOCABULARY) -> DataFrame:
+    """(doc_id, ids array<int>) of the texts of ``docs`` (doc_id, text, ...); null and empty texts give no ids.
+
+    ``pattern`` splits the text, ``path`` has the ranks; no special tokens. Rows keep their number and order; null or
+    repeated doc_ids pass through; an empty table gives no rows."""
+    return docs.select("doc_id", "text").mapInArrow(_encoding(docs, path, pattern, size), "doc_id long, ids array<int>")
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """``encoded`` (doc_id, ids) with the column decoded: the bytes of the ids, empty for no ids."""
+    return encoded.select("doc_id", "ids").mapInArrow(_decoding(path), "doc_id long, ids array<int>, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, size: int = VOCABULARY) -> DataFrame:
+    """:func:`decode` of :func:`encode` in one pass of the executors' Python."""
+    there, back = _encoding(docs, path, pattern, size), _decoding(path)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: back(there(batches)), "doc_id long, ids array<int>, decoded binary")

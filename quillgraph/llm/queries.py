@@ -32,9 +32,9 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe_replay.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return bpe_replay.decode(encoded, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    made = bpe_replay.round_trip(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

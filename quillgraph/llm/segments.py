@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from quillgraph.llm.words import Slice, slices
 
 #: Bytes of text that are worked on at once, and pieces that a worker remembers.
-SLICE, REMEMBERED = 2 << 20, 500_000
+SLICE, REMEMBERED = 2 << 20, 300_000
 #: White space beyond ASCII.
 _ODD = "[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _SPACES, _LETTER, _MARK, _OTHER = range(4)

@@ -133,6 +133,9 @@ def test_words_are_replayed_once_for_the_corpus(spark):
         known = len(bpe_replay.vocabulary(docs, path, P.PATTERN, size).h)
         assert known == size if size < 1000 else known > 4000
         assert sorted((str(r["doc_id"]), r["ids"]) for r in bpe_replay.encode(docs, path, P.PATTERN, size).collect()) == want
+        out = bpe_replay.round_trip(docs, path, P.PATTERN, size).collect()
+        assert sorted((str(r["doc_id"]), r["ids"]) for r in out) == want
+        assert sorted((str(r["doc_id"]), bytes(r["decoded"]).decode()) for r in out) == sorted((str(i), t or "") for i, t in rows)
 
 
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
