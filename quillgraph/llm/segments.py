@@ -79,8 +79,8 @@ class SegmentEncoder:
 
     Texts for which ``whole`` is true are one piece. ``given`` has the ids of pieces by their hashes."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[pa.Array], pa.Array] | None = None, given: Given | None = None):
-        self.encode, self.whole, self.given = encode, whole, given
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[pa.Array], pa.Array] | None = None, given: Given | None = None, remembered: int = REMEMBERED):
+        self.encode, self.whole, self.given, self.remembered = encode, whole, given, remembered
         self._forget()
 
     def _forget(self) -> None:
@@ -113,7 +113,7 @@ class SegmentEncoder:
             own, given = own[~hit], len(self.given.flat)
         raw = s.data.tobytes()
         words = [raw[a:b] for a, b in zip(start[first[own]].tolist(), end[first[own]].tolist())]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self._forget()
         index = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(index < 0)

@@ -22,7 +22,7 @@ from quillgraph.llm.tokenizing import encoder
 from quillgraph.plans.durable import shared_dir
 
 #: Bytes of input, as the optimizer estimates it, for one file.
-FILE = 16 << 20
+FILE = 8 << 20
 SCHEMA = "doc_id long, part int, at long, n_tokens long, tokens array<int>"
 
 
@@ -50,9 +50,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, encoding: str
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     known = size < 1 << 60  # else there is no estimate
     n = max(1, -(-size // FILE)) if known else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     out = ordered.mapInArrow(_encode(tokenizer, end_id), SCHEMA).write.option("compression", "zstd")
-    out = out.option("parquet.block.size", row_group).option("parquet.page.row.count.limit", page_rows).option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
+    out = out.option("parquet.block.size", row_group).option("parquet.page.row.count.limit", page_rows).option("parquet.compression.codec.zstd.level", 1).option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
     if encoding == "delta":
         out = out.option("parquet.writer.version", "v2")
     out.parquet(path)

@@ -16,6 +16,8 @@ from quillgraph.llm.segments import SegmentEncoder
 
 #: Words of which normalising and splitting leave one piece: Latin letters, behind at most one space.
 _PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
+#: Pieces that a worker remembers.
+REMEMBERED = 700_000
 _ENCODERS: dict[str, SegmentEncoder] = {}
 
 
@@ -69,5 +71,5 @@ def encoder(path: str) -> SegmentEncoder:
             known.update((s, np.array(e.ids, "<i4").tobytes()) for s, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)))
         return [known[s] for s in pieces]
 
-    _ENCODERS[path] = SegmentEncoder(encode, whole)
+    _ENCODERS[path] = SegmentEncoder(encode, whole, remembered=REMEMBERED)
     return _ENCODERS[path]
