@@ -17,7 +17,7 @@ from quillgraph.llm.segments import SegmentEncoder
 #: Words of which normalising and splitting leave one piece: Latin letters, behind at most one space.
 _PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 #: Pieces that a worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 450_000
 _ENCODERS: dict[str, SegmentEncoder] = {}
 
 
