@@ -1,21 +1,29 @@
-"""Media columns: bytes as WAV files of 8-bit samples and spectral-peak fingerprints of the samples read back."""
+"""Media columns: bytes as WAV files of 8-bit samples, stored in a table, and spectral-peak fingerprints of the samples
+read back.
+
+A peak is a bin of the short-time spectrum that no other within NEAR_T frames and NEAR_F bins exceeds. Each peak is
+paired with all later ones, in order of time and frequency, of its own frame and the next FAN; a pair is a code of both
+bins and their distance, at the time of the first."""
 
 from __future__ import annotations
 
 import hashlib
 import io
+import uuid
 import wave
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from quillgraph.plans.durable import shared_dir
 
 #: Payloads are padded to multiples of FRAME; a short-time spectrum has FRAME samples, one each HOP.
 FRAME, HOP, RATE = 192, 96, 8000
-#: A peak is the strongest bin of a band; it is paired with the others of its frame and all peaks of the next FAN frames.
-BANDS, FAN = ((1, 12), (12, 32), (32, 97)), 3
+#: Frames and bins around a peak, frames over which peaks are paired, and the level below which there is none.
+NEAR_T, NEAR_F, FAN, FLOOR = 2, 6, 3, 1e-3
 MEDIA = "doc_id long, n_bytes long, media binary"
 PRINTS = "doc_id long, n_bytes long, payload binary, media binary, fingerprint array<struct<t:int,code:int>>"
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -41,45 +49,60 @@ def padded(data: bytes) -> bytes:
     return data + _PAD * (-len(data) % FRAME if data else FRAME)
 
 
-def fingerprint(payload: bytes, block: int = 8192) -> tuple[np.ndarray, np.ndarray]:
-    """(times, codes) of pairs of spectral peaks. A code holds both bins and their distance in frames.
+def _highest(s: np.ndarray, reach: int, axis: int) -> np.ndarray:
+    """The maximum within ``reach`` places along an axis."""
+    n, out = s.shape[axis], s.copy()
+    cut = lambda a, b: tuple([slice(None)] * axis + [slice(a, b)])
+    for d in range(1, min(reach, n - 1) + 1):
+        np.maximum(out[cut(d, None)], s[cut(None, n - d)], out=out[cut(d, None)])
+        np.maximum(out[cut(None, n - d)], s[cut(d, None)], out=out[cut(None, n - d)])
+    return out
+
 
-    Frames are transformed block by block, so memory does not grow with the sound but for the peaks."""
-    x = np.frombuffer(payload, np.uint8)
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
-    peaks = np.empty((len(frames), len(BANDS)), np.int32)
-    level = np.empty((len(frames), len(BANDS)), np.float32)
+def peaks(payload: bytes, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """(frames, bins) of the spectral peaks, in order. Frames are transformed block by block, with NEAR_T on each side."""
+    frames = np.lib.stride_tricks.sliding_window_view(np.frombuffer(payload, np.uint8), FRAME)[::HOP]
+    times, bins = [], []
     for i in range(0, len(frames), block):
-        f = frames[i : i + block].astype(np.float32)
-        s = np.abs(np.fft.rfft((f - f.mean(1, keepdims=True)) * _WINDOW, axis=1))
-        for k, (lo, hi) in enumerate(BANDS):
-            best = s[:, lo:hi].argmax(1)
-            peaks[i : i + block, k] = best + lo
-            level[i : i + block, k] = s[np.arange(len(s)), best + lo]
-    alive = level > 1e-3  # flat bands have no peak
-    t, n = np.arange(len(frames), dtype=np.int32), len(frames)
-    later = np.triu(np.ones((len(BANDS), len(BANDS)), bool), 1)
-    times, codes = [], []
-    for d in range(min(FAN, n - 1) + 1):
-        both = alive[: n - d, :, None] & alive[d:, None, :]
-        if d == 0:
-            both &= later  # each pair of a frame once
-        times.append(np.broadcast_to(t[: n - d, None, None], both.shape)[both])
-        codes.append((peaks[: n - d, :, None] << 16 | peaks[d:, None, :] << 4 | d)[both])
-    times, codes = np.concatenate(times), np.concatenate(codes)
-    order = np.argsort(times, kind="stable")
-    return times[order].astype(np.int32), codes[order].astype(np.int32)
-
-
-def store_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): the UTF-8 bytes of each text, padded, as a WAV file; null counts as empty."""
+        lo, hi = max(0, i - NEAR_T), min(len(frames), i + block + NEAR_T)
+        f = frames[lo:hi].astype(np.float32)
+        s = np.abs(np.fft.rfft((f - f.mean(1, keepdims=True)) * _WINDOW, axis=1)).astype(np.float32)
+        s[:, 0] = 0
+        top = _highest(_highest(s, NEAR_F, 1), NEAR_T, 0)
+        t, b = np.nonzero((s == top) & (s > FLOOR))
+        here = (t >= i - lo) & (t < i - lo + block)
+        times.append(t[here] + lo)
+        bins.append(b[here])
+    return np.concatenate(times), np.concatenate(bins)
+
+
+def fingerprint(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(times, codes) of pairs of spectral peaks. A code holds both bins and their distance in frames."""
+    t, b = peaks(payload)
+    n = np.searchsorted(t, t + FAN, "right") - np.arange(len(t)) - 1
+    first = np.repeat(np.arange(len(t)), n)
+    second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
+    return t[first].astype(np.int32), (b[first] << 16 | b[second] << 4 | (t[second] - t[first])).astype(np.int32)
+
+
+def store_media(docs: DataFrame, path: str) -> DataFrame:
+    """The table (doc_id, n_bytes, media) at ``path``, written and opened for reading: the UTF-8 bytes of each text,
+    padded, as a WAV file.
+
+    Null texts count as empty; rows with a null or repeated doc_id are stored as they come, an empty table as one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [(x.as_py() or "").encode() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([to_wav(padded(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, MEDIA)
+    rows = docs.select("doc_id", "text").mapInArrow(run, MEDIA)
+    rows.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).option("parquet.enable.dictionary", "false").parquet(path)
+    return docs.sparkSession.read.schema(MEDIA).parquet(path)
+
+
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
 
 
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +134,7 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(media: DataFrame) -> DataFrame:
-    """``media`` with the payload read back and its time-coded fingerprint."""
+    """``media`` with the payload read back and its time-coded fingerprint; equal payloads have equal ones."""
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_printed, PRINTS)
 
 

@@ -56,7 +56,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.fingerprint_digests(media.store_media(_table(spark, sf_dir, "documents")))
+    return media.fingerprint_digests(media.store_media(_table(spark, sf_dir, "documents"), media.new_path(spark)))
 
 
 def op9_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """URL filter by association rules: FP-growth mines combinations of URL tokens that go with a label.
 
-Labelled urls become transactions of all their tokens. Frequent sets of tokens give rules "tokens -> label", kept by
-support and confidence unless a shorter rule says the same at least as surely. The sets are grown in parallel, one
+Urls become transactions of all their tokens. Sets of tokens that are frequent with a label give rules "tokens ->
+label", kept by support and confidence unless a shorter rule says the same at least as surely. Where labels are picked by
+rules of their own, a set may have one label only because the others of its urls have none; so urls without a label are
+mined along, and a set gives a rule only if labels cover a fair share of all the urls that have it. The sets are grown in parallel, one
 group a frequent token: its conditional base has the more frequent tokens of the transactions that it is in. A url is judged by an inverted
 index: each rule is listed under its rarest token, and is tried only on urls that have that token.
 """
@@ -21,6 +23,8 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 #: Rules have at most MAX_TOKENS tokens; transactions are mined whole. A rule holds in a share of MIN_SUPPORT at least, so
 #: there are at most C(n, <=4) / 0.01 rules if the urls have n frequent tokens: under 110,000 for 13 of them.
 MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.01, 0.8, 4
+#: Share of the urls with a rule's tokens that must have a label, and the name of those that have none.
+MIN_COVER, UNLABELLED = 0.5, ""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,6 +57,11 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda x: ~x.isin("host:", "word:", "path:", "key:")))
 
 
+def _most(n: Counter) -> int:
+    """Rows of the most frequent label."""
+    return max((m for label, m in n.items() if label != UNLABELLED), default=0)
+
+
 def _grow(base: list[tuple[tuple, Counter]], suffix: tuple, least: int) -> Iterator[tuple[tuple, Counter]]:
     """(tokens, rows by label) of the sets that end in ``suffix`` and are frequent with a label.
 
@@ -63,7 +72,7 @@ def _grow(base: list[tuple[tuple, Counter]], suffix: tuple, least: int) -> Itera
         for t in row:
             found[t].update(n)
     for t, n in found.items():
-        if max(n.values()) >= least:
+        if _most(n) >= least:
             yield (*suffix, t), n
             if len(n) > 1 and len(suffix) + 1 < MAX_TOKENS:
                 shorter: dict[tuple, Counter] = defaultdict(Counter)
@@ -73,14 +82,17 @@ def _grow(base: list[tuple[tuple, Counter]], suffix: tuple, least: int) -> Itera
                 yield from _grow(list(shorter.items()), (*suffix, t), least)
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[frozenset, str, float, float]]:
-    """Rules (tokens, label, confidence, support) from ``labelled`` (tokens, label); none without rows."""
-    rows = labelled.where("label is not null").select("tokens", "label")
-    total = rows.count()
+def mine(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_cover: float = MIN_COVER) -> list[tuple[frozenset, str, float, float]]:
+    """Rules (tokens, label, confidence, support) from ``urls`` (tokens, label); none without labels.
+
+    Confidence and support are shares of the urls that have a label; the others only count against a rule's cover."""
+    rows = urls.select("tokens", F.coalesce("label", F.lit(UNLABELLED)).alias("label"))
+    real = F.col("label") != UNLABELLED
+    total = rows.where(real).count()
     if not total:
         return []
     least = max(1, ceil(min_support * total))
-    counts = rows.select("label", F.explode("tokens").alias("token")).groupBy("token", "label").count().groupBy("token").agg(F.max("count").alias("most"), F.sum("count").alias("n"))
+    counts = rows.where(real).select("label", F.explode("tokens").alias("token")).groupBy("token", "label").count().groupBy("token").agg(F.max("count").alias("most"), F.sum("count").alias("n"))
     names = [r["token"] for r in counts.where(F.col("most") >= least).orderBy(F.desc("n"), "token").collect()]
     rank = {t: i for i, t in enumerate(names)}
 
@@ -99,8 +111,12 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         whole: Counter = Counter()
         for n in base.values():
             whole.update(n)
-        sets = [((item,), whole), *(_grow(list(base.items()), (item,), least) if len(whole) > 1 else ())]
-        out = [([names[t] for t in tokens], label, m / sum(n.values()), m / total) for tokens, n in sets for label, m in n.items() if m >= least and m / sum(n.values()) >= min_confidence]
+        out = []
+        for tokens, n in [((item,), whole), *(_grow(list(base.items()), (item,), least) if len(whole) > 1 else ())]:
+            every = sum(n.values())
+            labelled = every - n[UNLABELLED]
+            if labelled >= min_cover * every:
+                out += [([names[t] for t in tokens], label, m / labelled, m / total) for label, m in n.items() if label != UNLABELLED and m >= least and m / labelled >= min_confidence]
         return pd.DataFrame(out, columns=["antecedent", "label", "confidence", "support"])
 
     based = rows.mapInPandas(ranked, "item int, before array<int>, label string, n long").groupBy("item", "before", "label").agg(F.sum("n").alias("n"))
