@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, miss
     return some.union(none).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
     """``docs`` with one document of each group: that of the smallest doc_id. Rows without doc_id stay.
 
     Rows that repeat a doc_id are one document; one of them stays."""
