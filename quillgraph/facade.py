@@ -83,13 +83,13 @@ class MemoryGraph:
         offsets = F.broadcast(self.spark.createDataFrame(base, "part long, base long"))
         new = new.join(offsets, F.shiftright("_p", 33) == F.col("part")).withColumn("seq", F.col("base") + F.col("_p") - F.shiftleft(F.shiftright("_p", 33), 33))
         if "summary" not in have:
-            new = with_summary(new, "seq")
+            new = with_summary(new)
         for c in ("created_at", "updated_at", "last_accessed"):
             new = new.withColumn(c, F.lit(now))
         columns = [f.name for f in state.nodes.schema]
         new = durable(new.withColumn("access_count", F.lit(0).cast("long")).select(columns), "stored")
         nodes = state.nodes.unionByName(new)
-        links = linking.auto_link(nodes, self.threshold).where(F.col("source_seq") >= start)
+        links = linking.auto_link(nodes, self.threshold, start)
         ids = nodes.select("seq", "id")
         edges = links.join(ids.withColumnsRenamed({"seq": "source_seq", "id": "source_id"}), "source_seq").join(ids.withColumnsRenamed({"seq": "target_seq", "id": "target_id"}), "target_seq")
         edges = edges.select(F.uuid().alias("id"), "source_id", "target_id", F.lit("relates_to").alias("relation"), "weight", F.lit("{}").alias("metadata"), F.lit(now).alias("created_at"))

@@ -1,9 +1,14 @@
-"""Tokens, binary cosine similarity and extractive summaries, as built-in expressions."""
+"""Tokens and binary cosine similarity as built-in expressions, extractive summaries row by row."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The words that similarity ignores. Summaries ignore the shorter list below.
 STOP_WORDS = (
@@ -46,23 +51,40 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, F.trim), lambda s: F.length(s) > SHORT)
 
 
-def with_summary(df: DataFrame, key: str, text: str = "content", out: str = "summary") -> DataFrame:
-    """``df`` with the sentence of each text whose words are the most frequent in it, on average; the first of equals.
+_LINES, _ENDS, _BLANK = re.compile("\n+"), re.compile(r"(?<=[.!?])\s+", re.ASCII), re.compile(r"\s+", re.ASCII)
+_NOT_WORD = re.compile(r"[^a-z0-9\s]", re.ASCII)
+_FREQUENT = frozenset(SUMMARY_STOP_WORDS)
+
+
+def summary_of(text: str) -> str:
+    """The sentence whose words are the most frequent in the text, on average; the first of equals.
+
+    Without a sentence the first HEAD characters, of a single one the sentence itself."""
+    some = [s for s in (x.strip(" ") for x in _ENDS.split(_LINES.sub(" ", text))) if len(s) > SHORT]
+    if len(some) < 2:
+        return some[0] if some else text[:HEAD]
+    words = [_BLANK.split(_NOT_WORD.sub("", s.lower())) for s in some]
+    count = Counter(w for row in words for w in row)
+    for w in count.keys():
+        if len(w) < 2 or w in _FREQUENT:
+            count[w] = 0
+    return max(zip(some, words), key=lambda x: sum(map(count.__getitem__, x[1])) / len(x[1]))[0]
+
+
+@F.pandas_udf(StringType())
+def extractive_summary(texts: pd.Series) -> pd.Series:
+    """:func:`summary_of` each text; null stays null. Each row by itself: nothing is shuffled."""
+    return texts.map(lambda t: None if t is None else summary_of(t))
+
 
-    Without a sentence the first HEAD characters, of a single one the sentence itself. ``key`` must be unique."""
-    base = df.select(key, F.col(text).alias("_t"), sentences(F.col(text)).alias("_s"))
-    each = base.where(F.size("_s") > 1).select(key, F.posexplode("_s").alias("_i", "_x")).select(key, "_i", F.explode(clean_words(F.col("_x"))).alias("_w"))
-    counted = each.groupBy(key, "_i", "_w").agg(F.count("*").alias("_n"))  # first within the sentence: less to move
-    counts = F.filter(F.array("_w"), lambda w: (F.length(w) > 1) & ~w.isin(SUMMARY_STOP_WORDS))
-    words = counted.groupBy(key, "_w").agg(F.sum("_n").alias("_f"), F.collect_list(F.struct("_i", "_n")).alias("_o")).withColumn("_f", F.when(F.size(counts) > 0, F.col("_f")).otherwise(0))
-    score = words.select(key, "_f", F.inline("_o")).groupBy(key, "_i").agg((F.sum(F.col("_f") * F.col("_n")) / F.sum("_n")).alias("_p"))
-    best = score.groupBy(key).agg(F.max_by("_i", F.struct("_p", -F.col("_i"))).alias("_i"))
-    picked = base.join(best, key, "left").select(key, F.coalesce(F.get("_s", F.coalesce("_i", F.lit(0))), F.substring("_t", 1, HEAD)).alias(out))
-    return df.drop(out).join(picked, key)
+def with_summary(df: DataFrame, text: str = "content", out: str = "summary") -> DataFrame:
+    """``df`` with the extractive summary of each text."""
+    return df.withColumn(out, extractive_summary(text))
 
 
 def register(spark: SparkSession) -> None:
-    """Make ``text_similarity(a, b)`` and ``bag_of_words(a)`` callable from SQL."""
+    """Make ``text_similarity(a, b)``, ``bag_of_words(a)`` and ``extractive_summary(a)`` callable from SQL."""
+    spark.udf.register("extractive_summary", extractive_summary)
     stops = ", ".join(f"'{w}'" for w in STOP_WORDS)
     words = r"array_except(filter(array_distinct(split(regexp_replace(lower({0}), '[^a-z0-9\\s]', ''), '\\s+')), w -> length(w) > 1), array({1}))"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION bag_of_words(a STRING) RETURNS ARRAY<STRING> RETURN {words.format('a', stops)}")

@@ -27,10 +27,14 @@ def _bags(nodes: DataFrame) -> DataFrame:
     return nodes.select("seq", hashes.alias("bag")).where(F.size("bag") > 0)
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, later: bool = False):
+    """Links between the rows of the parts i and j; with ``later``, from those of i to earlier ones of j."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         left, right = (pdf[pdf["part"] == k] for k in (i, j))
+        if not len(left) or not len(right):
+            return pd.DataFrame([], columns=["source_seq", "target_seq", "weight"])
         sizes = right["bag"].map(len).to_numpy()
         words, inverse = np.unique(np.concatenate(right["bag"].to_list()), return_inverse=True)
         order = np.argsort(inverse, kind="stable")
@@ -45,30 +49,40 @@ def _compare(threshold: float):
                 continue
             both = np.bincount(np.concatenate([posting[begin[k] : begin[k + 1]] for k in at]), minlength=len(ids))
             weight = both / np.sqrt(float(len(bag_)) * sizes)
-            hit = np.flatnonzero((weight >= threshold) & (both > 0) & ((ids < seq) if i == j else (ids != seq)))
+            hit = np.flatnonzero((weight >= threshold) & (both > 0) & ((ids < seq) if i == j or later else (ids != seq)))
             out += [(max(seq, ids[h]), min(seq, ids[h]), weight[h]) for h in hit]
         return pd.DataFrame(out, columns=["source_seq", "target_seq", "weight"])
 
     return run
 
 
-def auto_link(nodes: DataFrame, threshold: float = 0.3) -> DataFrame:
+def auto_link(nodes: DataFrame, threshold: float = 0.3, since: int | None = None) -> DataFrame:
     """(source_seq, target_seq, weight) for each pair of nodes (seq, content, ...) of similarity ``threshold`` or more.
 
-    The later node is the source. A threshold of 0 or less switches linking off; nodes without words link with none."""
+    The later node is the source; ``since`` asks for the links of nodes from that seq on only, and new nodes alone are
+    then compared with all. A threshold of 0 or less switches linking off; nodes without words link with none."""
     schema = "source_seq long, target_seq long, weight double"
     if threshold <= 0:
         return nodes.sparkSession.createDataFrame([], schema)
     bags = durable(_bags(nodes), "bags")
     if threshold >= STRICT:
-        return _prefix_join(bags, threshold)
+        return _prefix_join(bags, threshold, since)
+    if since is not None:
+        new = bags.where(F.col("seq") >= since)
+        rows, columns = (max(1, math.ceil(x.count() / BLOCK)) for x in (new, bags))
+        deal = lambda n: F.pmod(F.xxhash64("seq"), F.lit(n))
+        all_ = lambda n, sign=1: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (k if sign > 0 else -k - 1).cast("long")))
+        # Blocks of new rows are numbered -1, -2, ...: each meets every block of all rows.
+        left = new.select((-deal(rows) - 1).alias("i"), all_(columns).alias("j"), "seq", "bag").withColumn("part", F.col("i"))
+        right = bags.select(all_(rows, -1).alias("i"), deal(columns).alias("j"), "seq", "bag").withColumn("part", F.col("j"))
+        return left.unionByName(right).groupBy("i", "j").applyInPandas(_compare(threshold, True), schema)
     blocks = max(1, math.ceil(bags.count() / BLOCK))
     dealt = bags.withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = dealt.select(F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "seq", "bag")
     return dealt.groupBy("i", "j").applyInPandas(_compare(threshold), schema)
 
 
-def _prefix_join(bags: DataFrame, threshold: float) -> DataFrame:
+def _prefix_join(bags: DataFrame, threshold: float, since: int | None = None) -> DataFrame:
     """Pairs that share one of their rarest words; a pair above the threshold always does (Bayardo et al. 2007)."""
     words = bags.select("seq", F.size("bag").alias("n"), F.explode("bag").alias("w"))
     rare = words.join(words.groupBy("w").agg(F.count("*").alias("df")), "w")
@@ -77,6 +91,7 @@ def _prefix_join(bags: DataFrame, threshold: float) -> DataFrame:
     prefix = rare.withColumn("r", rank).where(F.col("r") <= keep).select("seq", "n", "w")
     x, y = prefix.alias("x"), prefix.alias("y")
     near = F.expr(f"x.w = y.w and x.seq > y.seq and least(x.n, y.n) >= {threshold * threshold} * greatest(x.n, y.n) - {ROUND}")
+    x = x if since is None else x.where(F.col("x.seq") >= since)
     pairs = x.join(y, near).select(F.col("x.seq").alias("source_seq"), F.col("y.seq").alias("target_seq")).distinct()
     a, b = (bags.select(F.col("seq").alias(f"{s}_seq"), F.col("bag").alias(s)) for s in ("source", "target"))
     weight = F.size(F.array_intersect("source", "target")) / F.sqrt(F.size("source").cast("long") * F.size("target"))

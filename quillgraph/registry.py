@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.text import STOP_WORDS, SUMMARY_STOP_WORDS, bag, clean_words, text_similarity, with_summary
 from quillgraph.operators import changes, chat, fulltext, graph, lifecycle, linking, search, summary
 from quillgraph.operators.search import SearchFilter
+from quillgraph.operators.textindex import TextIndex
 from quillgraph.schema import EPOCH, TYPES, fixture_nodes, millis, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,7 +68,7 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _indexed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_summary(_nodes(spark, sf_dir), "seq")
+    return with_summary(_nodes(spark, sf_dir))
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +143,7 @@ def similarity(spark, sf_dir):
 
 @_query(f"WITH {_SUMMARY} SELECT seq, summary FROM summaries")
 def extractive_summary(spark, sf_dir):
-    return with_summary(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("content")), "seq").select("seq", "summary")
+    return with_summary(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("content"))).select("seq", "summary")
 
 
 @_query(rf"""WITH {_SUMMARY}, alltext AS (SELECT string_agg(summary, '. ' ORDER BY seq) AS t FROM summaries),
@@ -218,9 +219,26 @@ def graph_totals(spark, sf_dir):
 # Full-text search.
 
 
+_INDEXES: dict[tuple[str, str], TextIndex] = {}
+
+
+def _text_index(spark, sf_dir) -> TextIndex:
+    """The index of the driver's documents; each application writes it once."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        _INDEXES[key] = TextIndex(spark).add(_indexed_nodes(spark, sf_dir))
+    return _INDEXES[key]
+
+
 def _found(spark, sf_dir, query: str, **more) -> DataFrame:
     f = SearchFilter(query=query, **{"limit": -1} | more)
-    return fulltext.search(_indexed_nodes(spark, sf_dir), f).select("seq", F.round("score", 6).alias("score"))
+    found = _text_index(spark, sf_dir).search(f, _nodes(spark, sf_dir) if set(more) - {"limit"} else None)
+    return found.select("seq", F.round("score", 6).alias("score"))
+
+
+@_query(f"WITH {_INDEX}, places AS (SELECT seq, unnest(list_concat(c, s)) AS term FROM idx) SELECT term, count(DISTINCT seq) AS rows, count(*) AS places FROM places GROUP BY term")
+def fts_terms(spark, sf_dir):
+    return _text_index(spark, sf_dir).terms()
 
 
 @_query(_ranked([_term("the"), _term("ouon")], "t0 > 0 AND t1 > 0"))
@@ -261,6 +279,29 @@ def fts_first(spark, sf_dir):
     return _found(spark, sf_dir, "^the")
 
 
+@_query(_ranked([_term("pour", "s"), _term("license", "s")], "t0 > 0 OR t1 > 0"))
+def fts_column_group(spark, sf_dir):
+    return _found(spark, sf_dir, "summary : (pour OR license)")
+
+
+@_query(_ranked([_term("license", "c")], "t0 > 0"))
+def fts_column_but(spark, sf_dir):
+    return _found(spark, sf_dir, "- summary : license")
+
+
+@_query(_ranked([_term("pour"), _term("de", "c")], "t0 > 0 AND t1 > 0"))
+def fts_column_set(spark, sf_dir):
+    return _found(spark, sf_dir, "{content summary} : pour content : de")
+
+
+@_query(_ranked([_term("license"), _term("changed")], "t0 > 0 OR t1 > 0").replace("FROM summaries)", "FROM (SELECT seq, CASE WHEN seq % 5 = 1 THEN 'changed text' ELSE content END AS content, CASE WHEN seq % 5 = 1 THEN 'changed' ELSE summary END AS summary FROM summaries WHERE seq % 5 <> 0))"))
+def fts_maintained(spark, sf_dir):
+    nodes = _indexed_nodes(spark, sf_dir)
+    index = TextIndex(spark).add(nodes).remove(nodes.where("seq % 5 = 0").select("seq"))
+    index.update(nodes.where("seq % 5 = 1").select("seq", F.lit("changed text").alias("content"), F.lit("changed").alias("summary")))
+    return index.search(SearchFilter(query="license OR changed", limit=-1)).select("seq", F.round("score", 6).alias("score"))
+
+
 _NEAR = [" + ".join(f"len(list_filter(range(1, len({c}) + 1), lambda i: {c}[i] = '{a}' AND len(list_filter({c}[greatest(1, i - 4):i + 4], lambda x: x = '{b}')) > 0))" for c in "cs") for a, b in (("pour", "avec"), ("avec", "pour"))]
 _NEAR_SQL = _ranked([*_NEAR, _term("pour"), _term("avec")], "t0 > 0 AND t1 > 0")
 for _i in (0, 1):  # ranks count the near ones, rows with the phrase count wherever it stands
@@ -342,8 +383,7 @@ def chat_transcript(spark, sf_dir):
 
 
 def _recalled(spark, sf_dir) -> DataFrame:
-    nodes = _indexed_nodes(spark, sf_dir)
-    found = fulltext.search(nodes, SearchFilter(query=fulltext.plain("License?"), limit=chat.RECALL))
+    found = _text_index(spark, sf_dir).search(SearchFilter(query=fulltext.plain("License?"), limit=chat.RECALL), _nodes(spark, sf_dir), observed=True)
     return found.select(F.struct(F.round("score", 6).alias("s"), "seq").alias("rank"), "type", "content")
 
 

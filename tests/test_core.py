@@ -11,6 +11,7 @@ from quillgraph.functions.text import STOP_WORDS, SUMMARY_STOP_WORDS, register,
 from quillgraph.operators import chat, fulltext, graph, lifecycle, linking
 from quillgraph.operators.components import connected_components
 from quillgraph.operators.search import SearchFilter, structured
+from quillgraph.operators.textindex import TextIndex
 from quillgraph.sources.store import ParquetStore
 
 
@@ -25,11 +26,12 @@ def test_similarity(spark):
     assert similarity(spark, "", "word") == 0
     register(spark)
     assert spark.sql("SELECT text_similarity('dark mode', 'dark themes')").first()[0] == pytest.approx(0.5)
+    assert spark.sql("SELECT extractive_summary('short.')").first()[0] == "short."
 
 
 def test_summary(spark):
     rows = [(1, "short."), (2, "One long sentence here."), (3, "Cats like fish a lot. Dogs like bones and fish. Fish fish fish fish."), (4, ""), (5, "y" * 300)]
-    out = {r["k"]: r["summary"] for r in with_summary(spark.createDataFrame(rows, "k long, content string"), "k").collect()}
+    out = {r["k"]: r["summary"] for r in with_summary(spark.createDataFrame(rows, "k long, content string")).collect()}
     assert out == {1: "short.", 2: "One long sentence here.", 3: "Fish fish fish fish.", 4: "", 5: "y" * 300}
 
 
@@ -71,16 +73,48 @@ def test_fulltext_ranks_like_sqlite(spark):
     db.execute("CREATE VIRTUAL TABLE t USING fts5(content, summary)")
     db.executemany("INSERT INTO t(rowid, content, summary) VALUES (?, ?, ?)", [(i + 1, c, s) for i, _, c, s in rows])
     nodes = spark.createDataFrame(rows, "seq long, id string, content string, summary string").cache()
-    for q in ("alpha beta", "alpha OR delta", "alpha NOT beta", '"alpha beta"', "alph*", "summary : gamma", "NEAR(alpha beta, 2)", "^alpha", "naive", "(alpha OR beta) AND gamma"):
+    index = TextIndex(spark).add(nodes.where("seq < 25")).add(nodes.where("seq >= 25"))
+    for q in ("alpha beta", "alpha OR delta", "alpha NOT beta", '"alpha beta"', "alph*", "summary : gamma", "NEAR(alpha beta, 2)", "^alpha", "naive", "(alpha OR beta) AND gamma",
+              "summary : (alpha OR beta)", "{content summary} : beta", "- summary : alpha", "content : (alpha summary : beta)", "- {content} : gamma NOT delta", "summary : NEAR(alpha beta)", "^alp* OR \"beta gamma\""):
         want = {i - 1: round(s, 9) for i, s in db.execute("SELECT rowid, rank FROM t WHERE t MATCH ?", (q,))}
         got = {x["seq"]: round(x["score"], 9) for x in fulltext.ranked(nodes, q).collect()}
         assert got == pytest.approx(want, abs=1e-8), q
+        got = {x["seq"]: round(x["score"], 9) for x in index.ranked(q).collect()}
+        assert got == pytest.approx(want, abs=1e-8), q
     for bad in ("", "dark-mode", "what?", "it's", "AND", "(alpha"):
         with pytest.raises(fulltext.QueryError):
             fulltext.Parsed(bad)
     assert fulltext.plain("What theme?") == '"What" "theme"'
 
 
+def test_index_follows_changes_like_sqlite(spark):
+    r = random.Random(5)
+    make = lambda k: " ".join(r.choices(["alpha", "beta", "gamma", "Δέλτα", "ﾃ", "Ệ"], k=k))
+    rows = {i: (make(r.randint(0, 9)), make(2)) for i in range(1, 31)}
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(content, summary)")
+    frame = lambda ids: spark.createDataFrame([(i, *rows[i]) for i in ids], "seq long, content string, summary string")
+    index = TextIndex(spark).add(frame(rows))
+    gone, changed = range(3, 9), range(7, 20, 3)
+    index.remove(spark.createDataFrame([(i,) for i in [*gone, 99]], "seq long"))
+    rows = {i: v for i, v in rows.items() if i not in gone} | {i: (make(5), "alpha") for i in changed}
+    index.update(frame(changed))
+    db.executemany("INSERT INTO t(rowid, content, summary) VALUES (?, ?, ?)", [(i, c, s) for i, (c, s) in rows.items()])
+    for q in ("alpha", "beta NOT gamma", "alpha OR δέλτα", "alpha OR e", "alpha OR ệ", "alpha OR δελτα"):
+        want = {i: s for i, s in db.execute("SELECT rowid, rank FROM t WHERE t MATCH ?", (q,))}
+        assert {x["seq"]: x["score"] for x in index.ranked(q).collect()} == pytest.approx(want, abs=1e-8), q
+    assert index.rows == len(rows) and {x["term"]: x["rows"] for x in index.terms().collect()}["alpha"] == sum("alpha" in c + s for c, s in rows.values())
+
+
+def test_links_of_new_nodes(spark):
+    r = random.Random(7)
+    rows = [(i, " ".join(r.choices([f"w{k}" for k in range(25)], k=r.randint(0, 8)))) for i in range(50)]
+    nodes = spark.createDataFrame(rows, "seq long, content string")
+    for t in (0.3, 0.7):
+        every = {tuple(x) for x in linking.auto_link(nodes, t).collect()}
+        assert {tuple(x) for x in linking.auto_link(nodes, t, 40).collect()} == {x for x in every if x[0] >= 40}
+
+
 def test_structured_search(spark):
     rows = [(i, "fact" if i % 2 else "entity", i / 10, '{"k":"%d"}' % (i % 3), i, i, 10 - i) for i in range(10)]
     nodes = spark.createDataFrame(rows, "seq long, type string, importance double, metadata string, created_at long, updated_at long, access_count long")
