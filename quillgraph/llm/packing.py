@@ -87,6 +87,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = SEQUENC
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, tail = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), np.array([end_id], "<i4").tobytes()
+        encoder(tokenizer).forget()  # what an earlier task left
         for batch in batches:
             for at, rows in encoder(tokenizer).column(batch.column(1)):
                 out, which = [], []
@@ -101,6 +102,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = SEQUENC
                         which.append(at + i)
                 c = np.array(out, np.int64).reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), c[:, 0].astype(np.int32), c[:, 1].copy(), c[:, 2].copy(), c[:, 3].copy(), pa.array(np.full(len(c), part, np.int32)), c[:, 4].copy()], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+        encoder(tokenizer).forget()  # other stages share the worker
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from quillgraph.llm.words import Slice, slices
 
 #: Bytes of text that are worked on at once, and pieces that a worker remembers.
-SLICE, REMEMBERED = 2 << 20, 300_000
+SLICE, REMEMBERED = 1 << 20, 300_000
 #: White space beyond ASCII.
 _ODD = "[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _SPACES, _LETTER, _MARK, _OTHER = range(4)
@@ -81,9 +81,10 @@ class SegmentEncoder:
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[pa.Array], pa.Array] | None = None, given: Given | None = None, remembered: int = REMEMBERED):
         self.encode, self.whole, self.given, self.remembered = encode, whole, given, remembered
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Give the memory of the pieces back."""
         self.known: dict[bytes, int] = {}
         self.flat, self.start = np.zeros(1 << 16, "<i4"), np.zeros(1 << 16, np.int64)  # ids of piece i: start[i] to start[i + 1]
 
@@ -114,7 +115,7 @@ class SegmentEncoder:
         raw = s.data.tobytes()
         words = [raw[a:b] for a, b in zip(start[first[own]].tolist(), end[first[own]].tolist())]
         if len(self.known) > self.remembered:
-            self._forget()
+            self.forget()
         index = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(index < 0)
         if len(missing):

@@ -28,7 +28,7 @@ _POW = {"p": np.ones(1, _U), "i": np.ones(1, _U)}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW["p"]) < n:
-        m = 1 << (n - 1).bit_length()
+        m = (n | 0xFFFF) + 1
         for k, base in (("p", _P), ("i", _PINV)):
             x = np.full(m, _U(base), _U)
             x[0] = 1
