@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import segments
 from quillgraph.llm.segments import Given, SegmentEncoder
-from quillgraph.llm.words import slices
+from quillgraph.llm.words import slices, tidy
 from quillgraph.plans.durable import discard, durable
 
 #: Words that are replayed once for the corpus and broadcast, and bytes that these may have.
@@ -195,9 +195,9 @@ def _replayed(path: str, pattern: str):
 
 def vocabulary(docs: DataFrame, path: str, pattern: str, size: int = VOCABULARY) -> Given:
     """The ids of the ``size`` most frequent words of the corpus: at most ``size`` times SHORT ids, whatever its size."""
-    words = durable(docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    words = durable(docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(_counted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     top = words if words.count() <= size else words.orderBy(F.desc("n"), "word").limit(size).repartition("word")
-    ids = top.select("word").mapInArrow(_replayed(path, pattern), "h long, other long, ids binary").toArrow()
+    ids = top.select("word").mapInArrow(tidy(_replayed(path, pattern)), "h long, other long, ids binary").toArrow()
     discard(words)
     h, other = (ids.column(c).to_numpy().view(np.uint64) for c in ("h", "other"))
     flat = ids.column("ids").to_pylist()
@@ -252,15 +252,15 @@ def encode(docs: DataFrame, path: str, pattern: str, size: int = VOCABULARY) ->
 
     ``pattern`` splits the text, ``path`` has the ranks; no special tokens. Rows keep their number and order; null or
     repeated doc_ids pass through; an empty table gives no rows."""
-    return docs.select("doc_id", "text").mapInArrow(_encoding(docs, path, pattern, size), "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_encoding(docs, path, pattern, size)), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` (doc_id, ids) with the column decoded: the bytes of the ids, empty for no ids."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decoding(path), "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(_decoding(path)), "doc_id long, ids array<int>, decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, size: int = VOCABULARY) -> DataFrame:
     """:func:`decode` of :func:`encode` in one pass of the executors' Python."""
     there, back = _encoding(docs, path, pattern, size), _decoding(path)
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: back(there(batches)), "doc_id long, ids array<int>, decoded binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(lambda batches: back(there(batches))), "doc_id long, ids array<int>, decoded binary")

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgraph.llm.words import tidy
 from quillgraph.plans.durable import shared_dir
 
 #: Payloads are padded to multiples of FRAME; a short-time spectrum has FRAME samples, one each HOP.
@@ -96,7 +97,7 @@ def store_media(docs: DataFrame, path: str) -> DataFrame:
             raw = [(x.as_py() or "").encode() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([to_wav(padded(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, MEDIA)
+    rows = docs.select("doc_id", "text").mapInArrow(tidy(run), MEDIA)
     rows.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).option("parquet.enable.dictionary", "false").parquet(path)
     return docs.sparkSession.read.schema(MEDIA).parquet(path)
 
@@ -135,14 +136,14 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(media: DataFrame) -> DataFrame:
     """``media`` with the payload read back and its time-coded fingerprint; equal payloads have equal ones."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_printed, PRINTS)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(_printed), PRINTS)
 
 
 def digests(prints: DataFrame) -> DataFrame:
     """Checksums of what :func:`fingerprints` gives; ``feature`` has the number of pairs, the last time and a digest."""
-    return prints.mapInArrow(_digested, DIGESTS)
+    return prints.mapInArrow(tidy(_digested), DIGESTS)
 
 
 def fingerprint_digests(media: DataFrame) -> DataFrame:
     """:func:`digests` of the :func:`fingerprints` of ``media`` in one pass: the fingerprints never become rows."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(lambda batches: _digested(_printed(batches)), DIGESTS)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(lambda batches: _digested(_printed(batches))), DIGESTS)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.groups import grouped
-from quillgraph.llm.words import mix, shingle_set, slices
+from quillgraph.llm.words import mix, shingle_set, slices, tidy
 from quillgraph.operators.components import connected_components
 from quillgraph.plans.durable import checked_broadcast, discard, durable
 
@@ -207,18 +207,18 @@ def _full_sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(id, s): the shingle sets of the texts of ``ids``, a table of one column doc_id."""
     ids = durable(ids, "ids")
     texts = docs.join(checked_broadcast(ids), "doc_id", "left_semi").select("doc_id", "text")
-    return durable(texts.mapInArrow(_sets(words), "id long, s binary").dropDuplicates(["id"]), "sets")
+    return durable(texts.mapInArrow(tidy(_sets(words)), "id long, s binary").dropDuplicates(["id"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
     """Links among the distinct candidate ``pairs`` (a, b)."""
     sig = classes.select("id", "sig")
     both = pairs.join(sig.withColumnsRenamed({"id": "a", "sig": "x"}), "a").join(sig.withColumnsRenamed({"id": "b", "sig": "y"}), "b")
-    alive = durable(both.select("a", "b", "x", "y").mapInArrow(_prune(percent / 100, miss), "a long, b long"), "pairs")
+    alive = durable(both.select("a", "b", "x", "y").mapInArrow(tidy(_prune(percent / 100, miss)), "a long, b long"), "pairs")
     ends = durable(alive.select(F.col("a").alias("doc_id")).union(alive.select("b")).distinct(), "ends")
     sets = _full_sets(ends, docs, words)
     full = alive.join(sets.withColumnsRenamed({"id": "b", "s": "y"}), "b").join(sets.withColumnsRenamed({"id": "a", "s": "x"}), "a")
-    links = durable(full.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "links")
+    links = durable(full.select("a", "b", "x", "y").mapInArrow(tidy(_verify(percent)), "a long, b long"), "links")
     for t in (alive, ends, sets):
         discard(t)
     return links
@@ -230,10 +230,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, miss
     Null or wordless texts have the empty set: linked with nothing, their own component, kept. Rows without doc_id
     link with nothing and have a null component; they are kept. A doc_id is taken as unique: rows that repeat one
     are one document and get one class. Ties go to the smallest doc_id."""
-    signed = durable(docs.select("doc_id", "text").mapInArrow(_sign(words), _SIGN), "signed")
+    signed = durable(docs.select("doc_id", "text").mapInArrow(tidy(_sign(words)), _SIGN), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = durable(some.groupBy("n_shingles", "fp1", "fp2").agg(F.min(F.struct("doc_id", "sig")).alias("x")).selectExpr("fp1", "fp2", "x.doc_id id", "x.sig"), "classes")
-    bands = durable(classes.select("id", "sig").mapInArrow(_band, "key long, id long"), "bands")
+    bands = durable(classes.select("id", "sig").mapInArrow(tidy(_band), "key long, id long"), "bands")
     heads = durable(bands.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("c")).where("c > 1").drop("c"), "heads")
     # Only buckets with two classes or more go on; the join is between two written tables, so hot buckets can be split.
     members = durable(bands.join(heads, "key"), "members")
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, miss
         # Chunk i meets chunk j in the group (key, min, max).
         dealt = rest.withColumn("other", F.explode(F.expr("sequence(0, t - 1)"))).selectExpr("key", "cast(least(part, other) as long) i", "cast(greatest(part, other) as long) j", "cast(part as long) part", "id", "g")
         dealt = dealt.join(sig, "id").select("key", "i", "j", "part", "id", "g", "sig", "s").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        more = durable(dealt.mapInArrow(_across(percent, miss), "a long, b long"), "across")
+        more = durable(dealt.mapInArrow(tidy(_across(percent, miss)), "a long, b long"), "across")
         if not more.isEmpty():
             comp = durable(connected_components(links.union(more), "a", "b"), "comp")
     of_set = durable(classes.select("fp1", "fp2", "id").join(comp, "id", "left").select("fp1", "fp2", F.coalesce("component", "id").alias("component_id")), "of-set")

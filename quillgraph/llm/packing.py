@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.llm.words import tidy
 from quillgraph.llm.tokenizing import encoder
 from quillgraph.plans.durable import checked_broadcast, durable
 
@@ -104,7 +105,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = SEQUENC
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), c[:, 0].astype(np.int32), c[:, 1].copy(), c[:, 2].copy(), c[:, 3].copy(), pa.array(np.full(len(c), part, np.int32)), c[:, 4].copy()], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
         encoder(tokenizer).forget()  # other stages share the worker
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), PIECES)
 
 
 def pack(table: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
@@ -123,7 +124,7 @@ def pack(table: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
             s = slots[np.searchsorted(keys, length * wide + np.minimum(nth, wide - 1), "right") - 1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(s[:, 3] + nth - s[:, 1]), pa.array(s[:, 4].copy())], [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "nth").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "nth").mapInArrow(tidy(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = SEQUENCE) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.words import Slice, _powers, grams, mix, slices
+from quillgraph.llm.words import Slice, _powers, grams, mix, slices, tidy
 from quillgraph.plans.durable import BROADCAST_ROWS, checked_broadcast, discard, durable
 
 WINDOW, ANCHOR = 35, 12
@@ -265,7 +265,7 @@ def _texts_of(keyed: DataFrame, table: DataFrame) -> DataFrame:
 def _recurring(docs: DataFrame, window: int, anchor: int, shard: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(each row's first pass with rid and copies, the runs of recurring windows by rid, the texts by key)."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
-    first = keyed.select("doc_id", "key", "text").mapInArrow(_first_pass(window, anchor), _FIRST)
+    first = keyed.select("doc_id", "key", "text").mapInArrow(tidy(_first_pass(window, anchor)), _FIRST)
     first = durable(first.withColumn("rid", F.monotonically_increasing_id()), "first")  # numbered once, as written
     copies = durable(first.groupBy("key").agg(F.count("*").alias("copies"), F.min("rid").alias("head")), "copies")
     heads = first.where(f"n_words >= {window}").join(checked_broadcast(copies.select(F.col("head").alias("rid"))), "rid", "left_semi")
@@ -281,9 +281,9 @@ def _recurring(docs: DataFrame, window: int, anchor: int, shard: int) -> tuple[D
     parts = np.ones(shards, np.int64)  # of each shard, by the words that it sees; one number for SHARD phrases
     for r in load.collect():
         parts[r["shard"]] = -(-r["n"] // PART)
-    dealt = _texts_of(keyed, held.drop("n_words")).select("rid", "text", "phrases").mapInArrow(_deal(parts, window, anchor), _DEALT)
+    dealt = _texts_of(keyed, held.drop("n_words")).select("rid", "text", "phrases").mapInArrow(tidy(_deal(parts, window, anchor)), _DEALT)
     dealt = dealt.repartition(2 * int(parts.sum()), "shard", "part").sortWithinPartitions("shard", "part", "kind")
-    runs = durable(dealt.mapInArrow(_locate(window, anchor), _RUNS), "runs")
+    runs = durable(dealt.mapInArrow(tidy(_locate(window, anchor)), _RUNS), "runs")
     for t in (again, held):
         discard(t)
     lone = runs.groupBy("whole", "whole2").agg(F.count("*").alias("n"), F.min("anchor").alias("anchor")).where("n = 1").select("anchor")
@@ -310,7 +310,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     their copies, the first included; shorter texts stay. An empty table gives no rows."""
     rows, spans, keyed = _recurring(docs, window, anchor, shard)
     cut = durable(rows.where("copies = 1").select("rid", "key", "doc_id").join(spans, "rid"), "cut")
-    cut = durable(_texts_of(keyed, cut).select("rid", "text", "spans").mapInArrow(_drop_pass(window), "rid long, removed long, kept string"), "kept")
+    cut = durable(_texts_of(keyed, cut).select("rid", "text", "spans").mapInArrow(tidy(_drop_pass(window)), "rid long, removed long, kept string"), "kept")
     return rows.join(cut, "rid", "left").select(
         "doc_id", "n_words",
         F.when(_gone(window), F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
@@ -342,7 +342,7 @@ def strip_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             columns = [pa.array(text, batch.schema.field(at).type) if n == "text" else batch.column(k) for k, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    out = marked.mapInArrow(run, marked.schema)
+    out = marked.mapInArrow(tidy(run), marked.schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("_qg_spans").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.llm.words import tidy
 from quillgraph.llm.tokenizing import encoder
 from quillgraph.plans.durable import shared_dir
 
@@ -51,7 +52,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, encoding: str
     known = size < 1 << 60  # else there is no estimate
     n = max(1, -(-size // FILE)) if known else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    out = ordered.mapInArrow(_encode(tokenizer, end_id), SCHEMA).write.option("compression", "zstd")
+    out = ordered.mapInArrow(tidy(_encode(tokenizer, end_id)), SCHEMA).write.option("compression", "zstd")
     out = out.option("parquet.block.size", row_group).option("parquet.page.row.count.limit", page_rows).option("parquet.compression.codec.zstd.level", 1).option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
     if encoding == "delta":
         out = out.option("parquet.writer.version", "v2")
@@ -88,7 +89,7 @@ def _checksum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the stored documents, from the ids read back."""
-    rows = read(spark, path, ["doc_id", "part", "at", "tokens"]).mapInArrow(_checksum, "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
+    rows = read(spark, path, ["doc_id", "part", "at", "tokens"]).mapInArrow(tidy(_checksum), "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(offsets(spark, path)), "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillgraph.llm.words import Slice, mix, slices
+from quillgraph.llm.words import Slice, mix, slices, tidy
 from quillgraph.plans.durable import discard, durable
 
 #: Labelled rows that the classifier is fitted on at most. All that is learnt is bounded by it.
@@ -203,12 +203,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fairness: floa
     share = (toxic or 0) / total if total else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros(0, _U), np.zeros(0), -40.0 if share == 0 else 40.0)
-    counts = texts.mapInArrow(_counts, "f long, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(f"n >= {LEAST}")
+    counts = texts.mapInArrow(tidy(_counts), "f long, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(f"n >= {LEAST}")
     # How far the toxic share among documents with the feature is from the share at large, in standard deviations.
     far = (F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
     best = counts.withColumn("far", far).where(f"abs(far) >= {FAR}").select("f").collect()
     hashes = np.unique(np.array([*(np.int64(r["f"]).view(_U) for r in best), *map(_word_hash, _TERMS)], _U))
-    rows = texts.mapInArrow(_designed(hashes), "toxic int, own array<int>, swapped array<int>, pick long").collect()
+    rows = texts.mapInArrow(tidy(_designed(hashes)), "toxic int, own array<int>, swapped array<int>, pick long").collect()
     for t in (some, texts):
         discard(t)
     own = [r["own"] for r in rows]
@@ -236,7 +236,7 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
             value = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def held_out(doc_id) -> F.Column:
