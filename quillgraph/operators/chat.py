@@ -51,3 +51,9 @@ def chain_context(memories: DataFrame, transcripts: DataFrame) -> DataFrame:
     lines = memories.agg(F.array_sort(F.collect_list(F.struct("rank", "type", "content"))).alias("m")).select(F.size("m").alias("n"), memory_lines(F.col("m"), False).alias("lines"))
     text = F.when(F.col("n") == 0, F.col("transcript")).otherwise(F.concat(F.lit("Relevant memories:\n"), "lines", F.lit("\n\n"), "transcript"))
     return transcripts.crossJoin(F.broadcast(lines)).select("conv_id", text.alias("history"))
+
+
+def of_types(found: DataFrame, types: tuple[str, ...], limit: int) -> DataFrame:
+    """The best ``limit`` of ranked memories (score, seq, type, ...) that have one of ``types``; no types: any."""
+    some = found.where(F.col("type").isin(*types)) if types else found
+    return some.orderBy("score", "seq").limit(limit)

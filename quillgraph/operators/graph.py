@@ -25,6 +25,16 @@ def incident_edges(edges: DataFrame, node_id) -> DataFrame:
     return edges.where((F.col("source_id") == node_id) | (F.col("target_id") == node_id))
 
 
+def edges_by_id(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges that ``ids`` (id) names."""
+    return edges.join(ids.select("id").distinct(), "id", "left_semi").select(edges.columns)
+
+
+def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """Both tables' edges, unchecked: ends may be missing and edges may repeat; :func:`lifecycle.valid_links` checks."""
+    return edges.unionByName(new)
+
+
 def edge_labels(nodes: DataFrame, edges: DataFrame, width: int = 30) -> DataFrame:
     """Edges with the beginning of the contents of both ends; null for a missing node."""
     text = nodes.select("id", F.substring("content", 1, width).alias("label"))

@@ -40,7 +40,7 @@ def predicate(f: SearchFilter) -> Column:
     if f.max_importance is not None:
         out &= F.col("importance") <= f.max_importance
     for key, value in f.metadata.items():
-        out &= F.get_json_object("metadata", f"$['{key}']") == str(value)
+        out &= F.from_json("metadata", "map<string,string>")[key] == str(value)
     return out
 
 

@@ -11,7 +11,8 @@ from quillgraph.functions.text import STOP_WORDS, SUMMARY_STOP_WORDS, bag, clean
 from quillgraph.operators import changes, chat, fulltext, graph, lifecycle, linking, search, summary
 from quillgraph.operators.search import SearchFilter
 from quillgraph.operators.textindex import TextIndex
-from quillgraph.schema import EPOCH, TYPES, fixture_nodes, millis, table
+from quillgraph.schema import EPOCH, TYPES, fixture_nodes, iso, millis, table
+from quillgraph.sources.store import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -79,6 +80,10 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(spark, sf_dir).select(F.col("source_seq").alias("source_id"), F.col("target_seq").alias("target_id"), F.lit("relates_to").alias("relation"), "weight")
 
 
+def _event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("source_id"), F.col("event_id").alias("target_id"), F.col("event_type").alias("relation"))
+
+
 def _plain_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
 
@@ -125,6 +130,11 @@ def edge_filter(spark, sf_dir):
     return search.edges(edges, source=top).select(F.col("source_id").alias("source_seq"), F.col("target_id").alias("target_seq"), "weight")
 
 
+@_query(f"WITH {_NODES} SELECT seq, strftime(make_timestamp(created_at * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS created, strftime(make_timestamp(last_accessed * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS accessed FROM nodes")
+def iso_times(spark, sf_dir):
+    return _nodes(spark, sf_dir).select("seq", iso("created_at").alias("created"), iso("last_accessed").alias("accessed"))
+
+
 # Text functions.
 
 
@@ -206,6 +216,17 @@ def cluster_sizes(spark, sf_dir):
     return clusters(spark, sf_dir).select("cluster_id", "size").distinct()
 
 
+@_query("SELECT event_id AS id, user_id AS source_id, CAST(event_id AS BIGINT) AS target_id, event_type AS relation FROM events WHERE event_id IN (SELECT item_id * 7 FROM benchmark)")
+def edge_by_id(spark, sf_dir):
+    return graph.edges_by_id(_event_edges(spark, sf_dir), table(spark, sf_dir, "benchmark").select((F.col("item_id") * 7).alias("id")))
+
+
+@_query("SELECT event_id AS id, user_id AS source_id, event_id AS target_id, event_type AS relation FROM events UNION ALL SELECT -conv_id, conv_id, turn, role FROM conversations")
+def add_edges(spark, sf_dir):
+    new = table(spark, sf_dir, "conversations").select((-F.col("conv_id")).alias("id"), F.col("conv_id").alias("source_id"), F.col("turn").alias("target_id"), F.col("role").alias("relation"))
+    return graph.add_edges(_event_edges(spark, sf_dir), new)
+
+
 @_query(f"WITH {_LINKS}, {_NODES} SELECT 'node' AS kind, '[' || type || '] ' || substr(CAST(seq AS VARCHAR), 1, 8) || ' — ' || substr(content, 1, 60) AS line FROM nodes UNION ALL SELECT 'edge', substr(CAST(source_seq AS VARCHAR), 1, 8) || ' --[relates_to]--> ' || substr(CAST(target_seq AS VARCHAR), 1, 8) FROM links")
 def graph_report(spark, sf_dir):
     return graph.report(_nodes(spark, sf_dir), _edges(spark, sf_dir))
@@ -361,6 +382,21 @@ def ops_log_latest(spark, sf_dir):
     return lifecycle.latest(table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("op")))
 
 
+@_query("""WITH last AS (SELECT user_id AS id, event_type, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+SELECT doc_id AS id, text AS content FROM documents WHERE doc_id NOT IN (SELECT id FROM last) UNION ALL SELECT id, props FROM last WHERE event_type <> 'view'""")
+def ops_log_fold(spark, sf_dir):
+    op = F.when(F.col("event_type") == "view", "delete").otherwise("upsert")
+    payload = F.to_json(F.struct(F.col("user_id").alias("id"), F.col("props").alias("content")))
+    ops = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").alias("id"), payload.alias("payload"))
+    return fold(_plain_nodes(spark, sf_dir), ops, "id long, content string")
+
+
+@_query(f"WITH {_NODES}, gone AS (SELECT seq FROM nodes ORDER BY importance DESC, last_accessed DESC, seq DESC OFFSET 100) SELECT (SELECT max(doc_id) FROM documents) AS seq, sub_seq, event, seq AS id FROM gone, (VALUES (2, 'node:deleted'), (3, 'eviction')) e(sub_seq, event)")
+def change_log_evictions(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    return changes.of_evictions(lifecycle.victims(nodes, 100), nodes.agg(F.max("seq")).first()[0])
+
+
 @_query(f"WITH {_LINKS} SELECT DISTINCT source_seq AS seq, 0 AS sub_seq, 'link:auto' AS event, source_seq AS id FROM links UNION ALL SELECT doc_id, 1, 'node:created', doc_id FROM documents")
 def change_log(spark, sf_dir):
     return changes.of_stores(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq")), _links(spark, sf_dir))
@@ -387,6 +423,12 @@ def _recalled(spark, sf_dir) -> DataFrame:
     return found.select(F.struct(F.round("score", 6).alias("s"), "seq").alias("rank"), "type", "content")
 
 
+@_query(_ranked([_term("license")], "t0 > 0 AND seq % 6 IN (0, 1)", "ORDER BY score, seq LIMIT 5"))
+def chat_recall(spark, sf_dir):
+    found = _text_index(spark, sf_dir).search(SearchFilter(query=fulltext.plain("License?"), limit=-1), _nodes(spark, sf_dir), observed=True)
+    return chat.of_types(found, ("fact", "preference"), chat.RECALL).select("seq", F.round("score", 6).alias("score"))
+
+
 _RECALLED = _ranked([_term("license")], "t0 > 0", "ORDER BY score, seq LIMIT 5").replace("WITH ", f"WITH {_NODES}, hits AS (WITH ", 1) + "), mem AS (SELECT row_number() OVER (ORDER BY score, seq) AS i, type, content FROM hits JOIN nodes USING (seq))"
 
 

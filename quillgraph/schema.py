@@ -23,6 +23,11 @@ def millis(column: str) -> F.Column:
     return F.expr(f"timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', {column})")
 
 
+def iso(column: str) -> F.Column:
+    """ISO 8601 in UTC, with milliseconds, of Unix milliseconds."""
+    return F.date_format(F.expr(f"timestampadd(MILLISECOND, {column}, timestamp_ntz'1970-01-01 00:00:00')"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def fixture_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The node table over ``documents``: importance from labels, access statistics from the view events."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

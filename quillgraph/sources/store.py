@@ -1,12 +1,13 @@
 """A graph store on any file system that Spark writes: immutable snapshots of both tables and an append-only ops log.
 
 ``root/snapshot-N/{nodes,edges}`` are Parquet; the largest N whose folder has the file _DONE is current, so a reader
-never sees half a snapshot. ``root/ops`` takes changes as rows (seq, op, id, payload, ts); the state is the snapshot with the latest op
+never sees half a snapshot; _DONE holds the snapshot's marks as JSON. ``root/ops`` takes changes as rows (seq, op, id, payload, ts); the state is the snapshot with the latest op
 of each id folded in.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from typing import NamedTuple, Protocol
 
@@ -29,13 +30,13 @@ class Storage(Protocol):
 
     def load(self) -> Snapshot: ...
 
-    def save(self, state: Snapshot) -> None: ...
+    def save(self, state: Snapshot, **marks: str) -> None: ...
 
     def append(self, ops: DataFrame) -> None: ...
 
 
 def default_root() -> str:
-    """Below the warehouse variable if there is one, else the home folder."""
+    """Below the home folder, else the current one."""
     home = os.environ.get("HOME") or os.environ.get("USERPROFILE") or "."
     return os.path.join(home, ".quillgraph")
 
@@ -80,12 +81,29 @@ class ParquetStore:
         """Add rows (seq, op: upsert or delete, id, payload: the row as JSON, ts) to the log of the current snapshot."""
         ops.select("seq", "op", "id", "payload", "ts").write.mode("append").parquet(f"{self.root}/ops/{table}-{self.version()}")
 
-    def save(self, state: Snapshot) -> None:
-        """Write a new snapshot and make it current; the logs of the one before no longer count."""
-        n = self.version() + 1
+    def marks(self) -> dict[str, str]:
+        """What was kept with the current snapshot, such as how far a stream has come."""
+        n = self.version()
+        if not n:
+            return {}
+        stream = self._fs().open(self._path(f"snapshot-{n}/_DONE"))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text or "{}")
+
+    def save(self, state: Snapshot, **marks: str) -> None:
+        """Write a new snapshot and make it current; the logs of the one before no longer count. Older marks stay."""
+        n, marks = self.version() + 1, self.marks() | marks
         for name, df in zip(("nodes", "edges"), state):
             df.write.mode("overwrite").parquet(f"{self.root}/snapshot-{n}/{name}")
-        self._fs().create(self._path(f"snapshot-{n}/_DONE")).close()
+        # The file counts from the moment it has its name, so it gets that last.
+        done, part = self._path(f"snapshot-{n}/_DONE"), self._path(f"snapshot-{n}/_PART")
+        out = self._fs().create(part)
+        out.write(bytearray(json.dumps(marks).encode()))
+        out.close()
+        self._fs().rename(part, done)
 
 
 def fold(table: DataFrame, ops: DataFrame, schema: str) -> DataFrame:

@@ -10,15 +10,22 @@ from quillgraph.facade import MemoryGraph
 
 
 def into_graph(texts: DataFrame, graph: MemoryGraph, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Store a stream (content, ...) in ``graph``; a batch that is replayed after a failure is stored once."""
-    done: set[int] = set()
+    """Store a stream (content, ...) in ``graph``.
+
+    A graph with a store writes a snapshot for each batch, with the batch's number in it, so a batch that is replayed
+    after a failure, by another driver too, is stored once. Without a store that holds for this object's life."""
+    mark = "stream " + checkpoint.rstrip("/")
+    done = int(graph.store.marks().get(mark, -1)) if graph.store else -1
 
     def store(batch: DataFrame, epoch: int) -> None:
-        if epoch not in done and not batch.isEmpty():
+        nonlocal done
+        if epoch <= done:
+            return
+        if not batch.isEmpty():
             graph.ingest(batch)
             if graph.store:
-                graph.save()
-        done.add(epoch)
+                graph.save(**{mark: str(epoch)})
+        done = epoch
 
     writer = texts.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
