@@ -32,6 +32,8 @@ from quillgraph.plans.durable import discard, durable
 
 #: Words that are replayed once for the corpus and broadcast, and bytes that these may have.
 VOCABULARY, SHORT = 500_000, 32
+#: Words that a task counts at a time.
+COUNTED = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -174,7 +176,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b, k in zip(start[first[keep]].tolist(), end[first[keep]].tolist(), n[keep].tolist()):
                 w = raw[a:b]
                 seen[w] = get(w, 0) + k
-            if len(seen) > segments.REMEMBERED:
+            if len(seen) > COUNTED:
                 yield out()
                 seen = {}
     yield out()

@@ -5,13 +5,13 @@ contractions), and join one space to what follows. So a piece goes from the end
 with the white space before it; words of Latin letters and such marks alone are also cut between the two. Encoding piece
 by piece then equals encoding the text. Texts with white space beyond ASCII are one piece.
 
-Pieces are found, hashed to 128 bits and told apart for a slice of texts at once; only the distinct ones become objects.
+Pieces are found, hashed to 128 bits and told apart for a slice of texts at once; only those not seen before become
+objects. What a worker remembers are sorted arrays of hashes and the ids, without an object for a piece.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from quillgraph.llm.words import Slice, slices
 
 #: Bytes of text that are worked on at once, and pieces that a worker remembers.
-SLICE, REMEMBERED = 1 << 20, 300_000
+SLICE, REMEMBERED = 1 << 20, 600_000
 #: White space beyond ASCII.
 _ODD = "[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _SPACES, _LETTER, _MARK, _OTHER = range(4)
@@ -85,21 +85,36 @@ class SegmentEncoder:
 
     def forget(self) -> None:
         """Give the memory of the pieces back."""
-        self.known: dict[bytes, int] = {}
+        self.n = 0
+        self.h, self.nth = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and the numbers of their pieces
+        self.other = np.zeros(1 << 16, np.uint64)
         self.flat, self.start = np.zeros(1 << 16, "<i4"), np.zeros(1 << 16, np.int64)  # ids of piece i: start[i] to start[i + 1]
 
-    def _add(self, new: list[bytes]) -> None:
+    def _find(self, h: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """The number of each piece, or -1."""
+        if not self.n:
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        nth = self.nth[at]
+        return np.where((self.h[at] == h) & (self.other[nth] == other), nth, -1)
+
+    def _add(self, new: list[bytes], h: np.ndarray, other: np.ndarray) -> None:
         ids = self.encode([w.decode() for w in new])
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        at, n = len(self.known), int(size.sum())
+        at, n = self.n, int(size.sum())
         used = int(self.start[at])
         while at + len(ids) + 1 > len(self.start):
             self.start = np.concatenate((self.start, np.zeros_like(self.start)))
+            self.other = np.concatenate((self.other, np.zeros_like(self.other)))
         while used + n > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         self.start[at + 1 : at + len(ids) + 1] = used + np.cumsum(size)
         self.flat[used : used + n] = np.frombuffer(b"".join(ids), "<i4")
-        self.known.update(zip(new, range(at, at + len(ids))))
+        self.other[at : at + len(ids)] = other
+        self.n += len(ids)
+        order = np.argsort(h)
+        place = np.searchsorted(self.h, h[order])
+        self.h, self.nth = np.insert(self.h, place, h[order]), np.insert(self.nth, place, at + order)
 
     def _slice(self, s: Slice) -> list[bytes]:
         if not len(s.data):
@@ -112,17 +127,16 @@ class SegmentEncoder:
         if self.given is not None:
             begin, size, hit = self.given.find(h, other)
             own, given = own[~hit], len(self.given.flat)
-        raw = s.data.tobytes()
-        words = [raw[a:b] for a, b in zip(start[first[own]].tolist(), end[first[own]].tolist())]
-        if len(self.known) > self.remembered:
+        if self.n > self.remembered:
             self.forget()
-        index = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        index = self._find(h[own], other[own])
         missing = np.flatnonzero(index < 0)
         if len(missing):
-            self._add([words[i] for i in missing.tolist()])
-            index[missing] = np.arange(len(self.known) - len(missing), len(self.known))
+            raw, new = s.data.tobytes(), own[missing]
+            index[missing] = np.arange(self.n, self.n + len(missing))
+            self._add([raw[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())], h[new], other[new])
         begin[own], size[own] = given + self.start[index], self.start[index + 1] - self.start[index]
-        used = int(self.start[len(self.known)])
+        used = int(self.start[self.n])
         flat = self.flat[:used] if self.given is None else np.concatenate((self.given.flat, self.flat[:used]))
         n = size[code]
         ends = np.cumsum(n)

@@ -17,7 +17,7 @@ from quillgraph.llm.segments import SegmentEncoder
 #: Words of which normalising and splitting leave one piece: Latin letters, behind at most one space.
 _PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 #: Pieces that a worker remembers.
-REMEMBERED = 450_000
+REMEMBERED = 500_000
 _ENCODERS: dict[str, SegmentEncoder] = {}
 
 
@@ -49,27 +49,34 @@ def encoder(path: str) -> SegmentEncoder:
             out = pc.or_(out, pc.match_substring(column, a))
         return out
 
-    model, letters = tokenizer.model, _byte_letters()
-
-    tokenize, space, match, normal = model.tokenize, letters[32], _PLAIN.match, unicodedata.is_normalized
-
-    def plain(word: str) -> bytes:
-        """What encoding ``word`` gives, by the library's model alone."""
-        if lower:
-            word = word.strip(" ").lower()
-        if not word.isascii():
-            word = "".join([letters[b] for b in word.encode()])
-        elif word[:1] == " ":
-            word = space + word[1:]
-        return array("i", [t.id for t in tokenize(word)]).tobytes()
+    letters, tokenize, match, normal = _byte_letters(), tokenizer.model.tokenize, _PLAIN.match, unicodedata.is_normalized
+    space = letters[32]
 
     def encode(pieces: list[str]) -> list[bytes]:
-        known = {s: plain(s) for s in pieces if match(s) and (s.isascii() or normal("NFC", s))}
-        other = [s for s in pieces if s not in known]
+        """Plain words by the library's model alone, the others by the whole of it."""
+        out, other = [], []
+        for i, word in enumerate(pieces):
+            if not match(word):
+                other.append(i)
+                out.append(b"")
+                continue
+            if lower:
+                word = word.strip(" ").lower()
+            if word.isascii():
+                if word[0] == " ":
+                    word = space + word[1:]
+            elif normal("NFC", word):
+                word = "".join([letters[b] for b in word.encode()])
+            else:
+                other.append(i)
+                out.append(b"")
+                continue
+            out.append(array("i", [t.id for t in tokenize(word)]).tobytes())
         for i in range(0, len(other), 10_000):
             some = other[i : i + 10_000]
-            known.update((s, np.array(e.ids, "<i4").tobytes()) for s, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)))
-        return [known[s] for s in pieces]
+            for k, e in zip(some, tokenizer.encode_batch_fast([pieces[k] for k in some], add_special_tokens=False)):
+                out[k] = np.array(e.ids, "<i4").tobytes()
+        return out
 
     _ENCODERS[path] = SegmentEncoder(encode, whole, remembered=REMEMBERED)
     return _ENCODERS[path]
