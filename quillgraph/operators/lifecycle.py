@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.plans.paging import page
+
 
 class NotFound(KeyError):
     """A node that an operation needs does not exist."""
@@ -68,8 +70,8 @@ def fold_accesses(nodes: DataFrame, accesses: DataFrame) -> DataFrame:
 def evict(nodes: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` nodes that eviction leaves: it takes the least important, then the longest unread, then the oldest.
 
-    A limit of 0 is none. As the order is total, one top-k equals evicting after each insert."""
-    return nodes.orderBy(F.desc("importance"), F.desc("last_accessed"), F.desc("seq")).limit(limit) if limit > 0 else nodes
+    A limit of 0 is none. As the order is total, one page of it equals evicting after each insert."""
+    return page(nodes, [F.desc("importance"), F.desc("last_accessed"), F.desc("seq")], limit) if limit > 0 else nodes
 
 
 def victims(nodes: DataFrame, limit: int) -> DataFrame:

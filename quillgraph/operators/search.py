@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.plans.paging import page
+
 # The fields to sort by; anything else, relevance included, means updated_at.
 SORT_FIELDS = {"importance": "importance", "createdAt": "created_at", "updatedAt": "updated_at", "accessCount": "access_count"}
 
@@ -44,13 +46,6 @@ def predicate(f: SearchFilter) -> Column:
     return out
 
 
-def page(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
-    df = df.orderBy(*order)
-    if offset:
-        df = df.offset(offset)
-    return df if limit < 0 else df.limit(limit)
-
-
 def structured(nodes: DataFrame, f: SearchFilter) -> DataFrame:
     """Nodes that satisfy the filter, each with score 1, in its order; ties by seq."""
     by = F.col(SORT_FIELDS.get(f.sort_by, "updated_at"))

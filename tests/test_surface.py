@@ -13,6 +13,7 @@ from quillgraph import cli, server
 from quillgraph.facade import MemoryGraph
 from quillgraph.operators import chat
 from quillgraph.operators.search import SearchFilter, structured
+from quillgraph.plans.paging import page
 from quillgraph.schema import EDGES, NODES, iso
 from quillgraph.session import ChatSession
 from quillgraph.sources import connectors
@@ -109,6 +110,16 @@ def test_metadata_keys_with_marks(spark):
     assert structured(nodes, SearchFilter(metadata={"z": "1"})).count() == 0
 
 
+def test_deep_pages(spark):
+    rows = spark.range(1000, numPartitions=7).select(F.col("id").alias("seq"), ((F.col("id") * 37) % 11).alias("k"))
+    want = sorted(range(1000), key=lambda i: (-(i * 37 % 11), i))
+    for limit, offset in ((10, 0), (10, 30), (400, 0), (400, 500), (400, 800), (-1, 0), (-1, 990), (0, 700), (5, 2000)):
+        for top in (0, 50, 100_000):
+            got = page(rows, [F.desc("k"), F.asc("seq")], limit, offset, top)
+            assert got.columns == rows.columns and [r["seq"] for r in got.collect()] == want[offset:][: limit if limit >= 0 else None]
+    assert page(rows.where("false"), [F.col("seq")], 5, 0, 0).count() == 0
+
+
 def test_iso(spark):
     rows = spark.createDataFrame([(0,), (1704067200123,), (-1,), (None,)], "t long")
     assert [r[0] for r in rows.select(iso("t")).collect()] == ["1970-01-01T00:00:00.000Z", "2024-01-01T00:00:00.123Z", "1969-12-31T23:59:59.999Z", None]
