@@ -35,3 +35,11 @@ def test_links_of_many_tiles_shuffle_no_row(spark, threshold):
     links = linking.auto_link(spark.createDataFrame(rows, "seq long, content string"), threshold)
     assert {(a, b): w for a, b, w in links.collect()} == pytest.approx(brute(rows, threshold))
     assert "Exchange" not in plan(links)  # blocks were copied to every other block by one
+
+
+def test_strict_links_shuffle_no_candidates(spark):
+    rows = texts(2, 150)
+    for threshold in (0.6, 0.7, 0.95):
+        links = linking.auto_link(spark.createDataFrame(rows, "seq long, content string"), threshold)
+        assert {(a, b): w for a, b, w in links.collect()} == pytest.approx(brute(rows, threshold))
+        assert "Exchange" not in plan(links)
