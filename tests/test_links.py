@@ -53,3 +53,13 @@ def test_last_links_compare_the_last_nodes_first(spark):
     for step in (1, 3, 1000):  # the last three have no links: then all are compared
         assert {(a, b) for a, b, _ in linking.last_links(nodes, step=step).collect()} == {(a, b) for a, b in want if a == last}
     assert linking.last_links(nodes.where("seq >= 900")).count() == 0
+
+
+def test_forest_connects_what_the_links_do(spark):
+    rows = texts(4, 120, 2000)
+    nodes = spark.createDataFrame(rows, "id long, content string")
+    links = spark.createDataFrame(list(brute(rows, 0.3)), "source_id long, target_id long")
+    forest = linking.link_forest(nodes.withColumnRenamed("id", "seq")).toDF("source_id", "target_id")
+    assert forest.count() < links.count()
+    want = {tuple(x) for x in graph.clusters(nodes, links).collect()}
+    assert {tuple(x) for x in graph.clusters(nodes, forest).collect()} == want and len({x[1] for x in want}) > 1
