@@ -63,3 +63,10 @@ def test_forest_connects_what_the_links_do(spark):
     assert forest.count() < links.count()
     want = {tuple(x) for x in graph.clusters(nodes, links).collect()}
     assert {tuple(x) for x in graph.clusters(nodes, forest).collect()} == want and len({x[1] for x in want}) > 1
+
+
+def test_both_ways_reads_the_edges_once(spark):
+    edges = spark.createDataFrame([(1, 2), (3, 3), (2, 4), (5, None)], "source_id long, target_id long")
+    ends = graph.both_ways(edges)
+    assert sorted(ends.collect(), key=str) == sorted([(1, 2), (2, 1), (3, 3), (2, 4), (4, 2), (5, None)], key=str)
+    assert "Union" not in plan(ends)
