@@ -70,3 +70,11 @@ def test_both_ways_reads_the_edges_once(spark):
     ends = graph.both_ways(edges)
     assert sorted(ends.collect(), key=str) == sorted([(1, 2), (2, 1), (3, 3), (2, 4), (4, 2), (5, None)], key=str)
     assert "Union" not in plan(ends)
+
+
+def test_neighbours_of_links_are_not_shuffled(spark):
+    nodes = spark.createDataFrame([(i,) for i in (1, 2, 3)], "id long")
+    edges = spark.createDataFrame([(2, 1), (3, 2), (9, 3)], "source_id long, target_id long")
+    found = graph.neighbours(nodes, edges, once=True)
+    assert {tuple(x) for x in found.collect()} == {(2, 1), (1, 2), (3, 2), (2, 3), (9, 3)}
+    assert not re.search("Exchange hash", plan(found))
