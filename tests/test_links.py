@@ -78,3 +78,13 @@ def test_neighbours_of_links_are_not_shuffled(spark):
     found = graph.neighbours(nodes, edges, once=True)
     assert {tuple(x) for x in found.collect()} == {(2, 1), (1, 2), (3, 2), (2, 3), (9, 3)}
     assert not re.search("Exchange hash", plan(found))
+
+
+def test_labels_of_edges_are_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    nodes = spark.createDataFrame([(1, "one " * 20), (2, "two")], "id long, content string")
+    edges = spark.createDataFrame([(2, 1), (7, 2)], "source_id long, target_id long")
+    found = graph.edge_labels(nodes, edges)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {tuple(x) for x in found.select("source_id", "target_id", "source_label", "target_label").collect()} == {(2, 1, "two", ("one " * 20)[:30]), (7, 2, None, "two")}
+    assert not re.search("Exchange hash", plan(found))
