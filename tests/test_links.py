@@ -88,3 +88,14 @@ def test_labels_of_edges_are_broadcast(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {tuple(x) for x in found.select("source_id", "target_id", "source_label", "target_label").collect()} == {(2, 1, "two", ("one " * 20)[:30]), (7, 2, None, "two")}
     assert not re.search("Exchange hash", plan(found))
+
+
+def test_forgetting_broadcasts_what_goes(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    nodes = spark.createDataFrame([(i, "x") for i in range(5)], "id long, content string")
+    edges = spark.createDataFrame([(2, 1), (4, 3), (3, 2), (4, 2)], "source_id long, target_id long")
+    left = lifecycle.forget(nodes, edges, nodes.where("id = 3").select("id"))[1]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {tuple(x) for x in left.collect()} == {(2, 1), (4, 2)}
+    joins = re.findall(r"(\w+Join)", plan(left))
+    assert joins and all(x.startswith("Broadcast") for x in joins)
