@@ -99,3 +99,11 @@ def test_forgetting_broadcasts_what_goes(spark):
     assert {tuple(x) for x in left.collect()} == {(2, 1), (4, 2)}
     joins = re.findall(r"(\w+Join)", plan(left))
     assert joins and all(x.startswith("Broadcast") for x in joins)
+
+
+def test_similarity_makes_bags_once(spark, tmp_path):
+    rows = [(1, "Dark mode, please!"), (2, "DARK modes"), (3, ""), (4, None), (6, "dark"), (7, "the darkK dark")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = registry.QUERIES["similarity"](spark, str(tmp_path))
+    assert {(x[0], x[1]): x[2] for x in found.collect()} == pytest.approx({(1, 2): 1 / math.sqrt(6), (2, 3): 0, (3, 4): 0, (6, 7): 1 / math.sqrt(2)})
+    assert "regexp_replace" not in plan(found)
