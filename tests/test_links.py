@@ -107,3 +107,22 @@ def test_similarity_makes_bags_once(spark, tmp_path):
     found = registry.QUERIES["similarity"](spark, str(tmp_path))
     assert {(x[0], x[1]): x[2] for x in found.collect()} == pytest.approx({(1, 2): 1 / math.sqrt(6), (2, 3): 0, (3, 4): 0, (6, 7): 1 / math.sqrt(2)})
     assert "regexp_replace" not in plan(found)
+
+
+def small_tables(spark, path, rows):
+    """Tables of ``rows`` (doc_id, text), with labels and views of some."""
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, _ in rows[::2]], "doc_id long, quality long, toxic long").write.parquet(f"{path}/labels.parquet")
+    spark.sql("SELECT 1L user_id, 'view' event_type, timestamp_ntz'2024-01-01 00:00:00' ts").write.parquet(f"{path}/events.parquet")
+
+
+def test_report_does_not_shuffle_whole_texts(spark, tmp_path):
+    long = "dark mode " * 30
+    small_tables(spark, tmp_path, [(1, long), (123456789, long), (2, None), (3, ""), (4, "short")])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    found = registry.QUERIES["graph_report"](spark, str(tmp_path))
+    steps = plan(found)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = [("node", f"[preference] 1 — {long[:60]}"), ("node", f"[relationship] 12345678 — {long[:60]}"), ("node", None), ("node", "[relationship] 3 — "), ("node", "[entity] 4 — short"), ("edge", "12345678 --[relates_to]--> 1")]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    assert re.search(r"Exchange hashpartitioning\(doc_id.*\n.*Project \[.*substring\(text", steps)
