@@ -126,3 +126,16 @@ def test_report_does_not_shuffle_whole_texts(spark, tmp_path):
     want = [("node", f"[preference] 1 — {long[:60]}"), ("node", f"[relationship] 12345678 — {long[:60]}"), ("node", None), ("node", "[relationship] 3 — "), ("node", "[entity] 4 — short"), ("edge", "12345678 --[relates_to]--> 1")]
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
     assert re.search(r"Exchange hashpartitioning\(doc_id.*\n.*Project \[.*substring\(text", steps)
+
+
+def test_change_log_takes_sources_and_not_links(spark, tmp_path):
+    rows = texts(5, 150, 60)
+    small_tables(spark, tmp_path, rows)
+    want = {a for a, _ in brute(rows, 0.3)}
+    nodes = spark.createDataFrame(rows, "seq long, content string")
+    found = [x[0] for x in linking.link_sources(nodes).collect()]
+    assert set(found) == want and len(found) < len(brute(rows, 0.3)) / 4
+    log = registry.QUERIES["change_log"](spark, str(tmp_path))
+    assert sorted(map(tuple, log.collect())) == sorted([(i, 0, "link:auto", i) for i in want] + [(i, 1, "node:created", i) for i, _ in rows])
+    assert "[source_seq#" in re.search(r"MapInArrow.*", plan(log))[0] and "weight" not in plan(log)
+    assert linking.link_sources(nodes.where("seq < 0")).count() == 0 and linking.link_sources(nodes, 0).count() == 0
