@@ -139,3 +139,14 @@ def test_change_log_takes_sources_and_not_links(spark, tmp_path):
     assert sorted(map(tuple, log.collect())) == sorted([(i, 0, "link:auto", i) for i in want] + [(i, 1, "node:created", i) for i, _ in rows])
     assert "[source_seq#" in re.search(r"MapInArrow.*", plan(log))[0] and "weight" not in plan(log)
     assert linking.link_sources(nodes.where("seq < 0")).count() == 0 and linking.link_sources(nodes, 0).count() == 0
+
+
+def test_totals_count_links_where_they_are_found(spark, tmp_path):
+    rows = texts(6, 150, 60)
+    small_tables(spark, tmp_path, rows)
+    totals = registry.QUERIES["graph_totals"](spark, str(tmp_path))
+    assert [tuple(x) for x in totals.collect()] == [(len(rows), len(brute(rows, 0.3)))] and totals.dtypes == [("nodes", "bigint"), ("edges", "bigint")]
+    assert "weight" not in plan(totals)
+    nodes = spark.createDataFrame(rows, "seq long, content string")
+    for none in (linking.link_counts(nodes.where("seq < 0")), linking.link_counts(nodes, 0)):
+        assert graph.totals(nodes, none, none["links"]).first()[1] == 0
