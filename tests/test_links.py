@@ -3,7 +3,10 @@
 import math
 import random
 import re
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillgraph import registry
@@ -150,3 +153,13 @@ def test_totals_count_links_where_they_are_found(spark, tmp_path):
     nodes = spark.createDataFrame(rows, "seq long, content string")
     for none in (linking.link_counts(nodes.where("seq < 0")), linking.link_counts(nodes, 0)):
         assert graph.totals(nodes, none, none["links"]).first()[1] == 0
+
+
+def test_strict_links_make_no_matrix(monkeypatch):
+    monkeypatch.setattr(linking, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    bags = [list(range(k, k + 40)) for k in range(0, 3000, 10)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(bags, pa.list_(pa.int64()))], ["seq", "bag"])
+    (packed,) = linking._pack(np.arange(2))([batch])
+    tile = linking._Tile([packed.column(c)[0] for c in range(3, 9)])
+    found = {(int(a), int(b)) for s, t, _ in linking._links(tile, tile, 0.7, True, False) for a, b in zip(s, t)}
+    assert found == {(i + 1, i) for i in range(299)} and "matrix" not in vars(tile)
