@@ -163,3 +163,46 @@ def test_strict_links_make_no_matrix(monkeypatch):
     tile = linking._Tile([packed.column(c)[0] for c in range(3, 9)])
     found = {(int(a), int(b)) for s, t, _ in linking._links(tile, tile, 0.7, True, False) for a, b in zip(s, t)}
     assert found == {(i + 1, i) for i in range(299)} and "matrix" not in vars(tile)
+
+
+def tiles(monkeypatch, bags, common, kinds=None):
+    """The tiles of ``bags``, as one task packs them."""
+    monkeypatch.setattr(linking, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    columns = [pa.array(range(len(bags)), pa.int64()), pa.array(bags, pa.list_(pa.int64()))] + ([pa.array(kinds, pa.int32())] if kinds else [])
+    packed = linking._pack(np.array(common, np.int64))([pa.RecordBatch.from_arrays(columns, ["seq", "bag", "kind"][: len(columns)])])
+    return [linking._Tile([t.column(c)[0] for c in range(3, 9)]) for t in packed]
+
+
+@pytest.mark.parametrize("fast", [True, False])
+def test_few_pairs_are_confirmed_and_no_link_is_lost(monkeypatch, fast):
+    if not fast:  # without ONNX Runtime
+        monkeypatch.setitem(__import__("sys").modules, "onnxruntime", None)
+    linking._product.cache_clear()
+    r = np.random.default_rng(7)
+    # Two vocabularies, a few near copies, and rows of over 255 words in one column.
+    bags = [sorted({int(w) for w in r.zipf(1.3, r.integers(5, 200)) % 5000} | {0}) for _ in range(500)]
+    bags = [[w + 10_000 * (i % 2) for w in b] for i, b in enumerate(bags)] + [bags[i] + [7_000_000 + i] for i in range(0, 60, 2)]
+    bags += [[k * (1 << 31) + 20_000 for k in range(a, a + 600)] for a in (0, 250, 3000)]
+    sets = [set(b) for b in bags]
+    want = {(i, j): len(sets[i] & sets[j]) / math.sqrt(len(sets[i]) * len(sets[j])) for i in range(len(bags)) for j in range(i)}
+    want = {k: w for k, w in want.items() if w >= 0.3}
+    (tile,) = tiles(monkeypatch, bags, [*range(300), *range(10_000, 10_300)])
+    confirmed = []
+    shared = linking._shared
+    monkeypatch.setattr(linking, "_shared", lambda *a: confirmed.append(len(a[4])) or shared(*a))
+    found = [{(int(a), int(b)): w for s, t, c in linking._links(tile, tile, 0.3, True, False, exact) for a, b, w in zip(s, t, c)} for exact in (True, False)]
+    linking._product.cache_clear()
+    assert found[0] == pytest.approx(want) and set(found[1]) == set(want)
+    assert sum(confirmed) < len(bags) ** 2 * 0.7  # both runs; before, all pairs were counted in full where links were not rare
+    assert len(bags) - 1 in {a for a, _ in want} or (len(bags) - 2, len(bags) - 3) in want
+
+
+def test_rows_of_a_group_share_tiles(monkeypatch):
+    n = linking.TILE // 8
+    bags, kinds = [[i, i + 1, 5] for i in range(3 * n)], [0] * (n + 5) + [1] * (2 * n - 5)
+    packed = tiles(monkeypatch, bags, [5], kinds)
+    assert [len(t.seqs) for t in packed] == [n + 5, 2 * n - 5]
+    rows = [np.array([[1, 1, 0, 0], [0, 0, 1, 1]], np.float32)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([[11, 12], [13], []], pa.list_(pa.int64()))], ["seq", "bag"])
+    monkeypatch.setattr(linking, "LEADING", 4)
+    assert linking._grouped(np.array([11, 12, 13, 14]), rows[0])(batch).column(2).to_pylist() == [0, 1, 0]
